@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, langid, media, sentencepieces
+from . import compression, embeddings, jaccard, langid, media, sentencepieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -66,3 +66,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("held_out", fold(3) == 1)
     scored = compression.score(rows, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
