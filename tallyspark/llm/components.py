@@ -27,16 +27,21 @@ def _tied(pairs: DataFrame, mins: DataFrame) -> DataFrame:
     return pairs.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    r = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1))).head()
-    return r[0], r[1] or 0
+def _settled(links: DataFrame) -> bool:
+    """Whether the links (u larger, v smaller) are stars already: no node is both an end and a centre, or has two centres."""
+    ends = links.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    if ends.where("lo <> hi").head(1):
+        return False
+    return not links.select("v").distinct().join(ends.select(F.col("u").alias("v")), "v", "left_semi").head(1)
 
 
 def components(links: DataFrame, a: str = "u", b: str = "v", limit: int = 60) -> DataFrame:
     """(node, component): each node that has a link, with its component's smallest node."""
     plain = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").select("u", "v").distinct()
-    current, before = written(plain, "links"), None
+    current = written(plain, "links")
     for _ in range(limit):
+        if _settled(current):
+            break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         mins = written(_mins(both), "mins")
         large = written(_tied(both.where("v > u"), mins).where("u <> v").distinct(), "links")  # u > v
@@ -44,10 +49,7 @@ def components(links: DataFrame, a: str = "u", b: str = "v", limit: int = 60) ->
         small = _tied(large, low).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
         new = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         forget(links.sparkSession, current, mins, large, low)
-        current, state = new, _state(new)
-        if state == before:
-            break
-        before = state
+        current = new
     else:
         raise RuntimeError("the components did not settle")
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -8,10 +8,10 @@ they form.
    few per cent, are the active postings.
 3. Candidates pass length and positional filters on the shared n-gram, are made distinct, and are verified once: a suffix
    filter bounds the overlap by counts over hash ranges before the sets are intersected.
-4. Components do not need all links within a group. In a star round each shared n-gram pairs one class, its leader, with
-   the others; the components so found are contracted, and pairs within one are never made. Star rounds go on while many
-   pairs are left; the last round makes all pairs between different components. No link between different components is
-   lost, and no bound is set on partners.
+4. Components do not need all links within a group. In a first round each shared n-gram pairs one class, its leader, with
+   the others; the components so found are contracted. In the second, every class is held against all classes of each
+   larger component that it shares an n-gram with, in blocks; pairs within a component are never looked at again, and pairs
+   are never rows. No link between different components is lost, and no bound is set on partners.
 
 N-grams are compared by 64-bit hashes. Null and empty texts, and texts without words, have no n-grams and link with
 nothing; a text with fewer words than n has one n-gram, all its words. Letters A-Z are lower-cased. A null id is no
@@ -34,19 +34,22 @@ from .flattext import Hasher, find_words, mix, slices, text_bytes
 from .shared import forget, parts, written
 
 U = np.uint64
-SKETCH_BITS, CHUNK_BITS = 20, 14
+SKETCH_BITS, CHUNK_BITS = 20, 16
 RANGES = 16
 
 
 @dataclass(frozen=True)
 class Rule:
     """Links: percent * union <= 100 * intersection. frequent: how often the sketch must have counted an n-gram for its
-    postings to be dealt out by class too. broadcast_rows: up to how many active classes (24 bytes each) are broadcast."""
+    postings to be dealt out by class too. broadcast_rows: up to how many active classes (24 bytes each) are broadcast.
+    block_grams, block_rows: the size of the blocks in which classes are held against components."""
 
     n: int = 5
     percent: int = 75
     frequent: int = 20_000
     broadcast_rows: int = 200_000
+    block_grams: int = 500_000
+    block_rows: int = 1000
 
     def prefix(self, size: np.ndarray) -> np.ndarray:
         return size - -(-self.percent * size // 100) + 1
@@ -274,44 +277,84 @@ def _possible(rule: Rule) -> Column:
     return short & (F.least(n - F.col("pos"), m - F.col("at")) >= rule.overlap(n, m))
 
 
-def _pairs(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct candidates (u < v) of different components that share an n-gram."""
-    other = right.select("token", F.col("set").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("theirs"))
-    both = left.join(other, "token").where((F.col("comp") != F.col("theirs")) & _possible(rule))
-    return both.select(F.least("set", "other").alias("u"), F.greatest("set", "other").alias("v")).distinct()
-
-
-def class_components(active: DataFrame, sets: DataFrame, rule: Rule, star_rounds: int = 8) -> DataFrame:
+def _star_links(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between each n-gram's leader and the other classes that have it: no more candidates than postings."""
+    rank = F.struct(F.xxhash64("set").alias("h"), "set", "n", "pos")
+    leaders = active.groupBy("token").agg(F.min(rank).alias("s"))
+    leaders = written(leaders.select("token", F.col("s.set").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("at")), "leaders")
+    both = active.join(leaders, "token").where((F.col("set") != F.col("other")) & _possible(rule))
+    pairs = both.select(F.least("set", "other").alias("u"), F.greatest("set", "other").alias("v")).distinct()
+    return written(_verified(pairs, sets, rule), "verified")
+
+
+def _touching(postings: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct (set, comp): classes and larger components, not their own, that may hold a class they link with. What the
+    members of a component know of an n-gram is put together first, so a large component is one row."""
+    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest")]
+    theirs = postings.groupBy("token", F.col("comp").alias("theirs"), F.col("weight").alias("their_weight")).agg(*bounds)
+    theirs = written(theirs, "theirs")
+    n, least_m = F.col("n"), F.greatest(F.col("low"), F.ceil(F.col("n") * rule.percent / F.lit(100.0) - 1e-9))
+    need = rule.overlap(n, least_m)
+    larger = F.struct("their_weight", "theirs") > F.struct("weight", "comp")
+    fits = (least_m <= F.col("high")) & (least_m * rule.percent <= n * F.lit(10_000.0 / rule.percent)) & (F.least(n - F.col("pos"), F.col("rest")) >= need)
+    return postings.join(theirs, "token").where(larger & fits).select("set", F.col("theirs").alias("comp")).distinct()
+
+
+def _overlaps(rule: Rule):
+    def run(_: tuple, table: pa.Table) -> pa.Table:
+        """side 0: classes of a component; side 1: classes to be held against them. One link per class of side 1."""
+        side, names = table["side"].to_numpy(), table["set"].to_pylist()
+        tokens = [np.frombuffer(t, U) for t in table["tokens"].to_pylist()]
+        mine, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: list[tuple[bytes, bytes]] = []
+        if len(mine) and len(others):
+            sizes = np.array([len(tokens[i]) for i in mine])
+            flat, owner = np.concatenate([tokens[i] for i in mine]), np.repeat(np.arange(len(mine)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in others:
+                a, b = np.searchsorted(flat, tokens[i]), np.searchsorted(flat, tokens[i], side="right")
+                hits = owner[np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True) if y > x] or [np.zeros(0, np.int64)])]
+                shared = np.bincount(hits, minlength=len(mine))
+                on = np.flatnonzero(100 * shared >= rule.percent * (sizes + len(tokens[i]) - shared))
+                if len(on):
+                    found.append((names[i], names[mine[on[0]]]))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+    return run
+
+
+def _block_links(touching: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Holds each class against all classes of the components that it touches, in blocks of bounded size on both sides.
+    Classes and components are moved, pairs are not."""
+    weights = members.groupBy("comp").agg(F.sum("n").alias("w"))
+    wanted = touching.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).join(weights, "comp")
+    blocks = wanted.select("comp", F.ceil(F.col("w") / rule.block_grams).cast("int").alias("xs"), F.ceil(F.col("c") / rule.block_rows).cast("int").alias("ys"))
+    blocks = written(blocks, "blocks")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
+    mine = members.select("set", "comp").join(blocks, "comp").select("set", "comp", place("xs").alias("xb"), spread("ys").alias("yb"), F.lit(0).alias("side"))
+    others = touching.join(blocks, "comp").select("set", "comp", place("ys").alias("yb"), spread("xs").alias("xb"), F.lit(1).alias("side"))
+    rows = mine.unionByName(others).join(sets, "set")
+    return written(rows.groupBy("comp", "xb", "yb").applyInArrow(_overlaps(rule), "u binary, v binary"), "verified")
+
+
+def class_components(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(set, comp) of the classes that have links, comp being one of the component's classes."""
-    spark = active.sparkSession
-    links, found = None, None
-    for k in range(star_rounds + 1):
-        postings = active.withColumn("comp", F.col("set"))
-        if found is not None:
-            known = found.select(F.col("node").alias("set"), F.col("component").alias("comp"))
-            postings = active.join(known, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        # only n-grams that still have classes of two components
-        mixed = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        mixed = written(mixed, "mixed")
-        postings = written(postings.join(mixed, "token", "left_semi"), "postings")
-        by_comp = postings.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("rows"))
-        left = by_comp.agg(F.sum("pairs"), F.sum("rows")).head()
-        if not left[1]:
-            break
-        last = k == star_rounds or left[0] <= 4 * left[1]
-        if last:
-            pairs = _pairs(postings, postings, rule)
-        else:
-            rank = F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set", "n", "pos", "comp")
-            leaders = written(postings.groupBy("token").agg(F.min(rank).alias("s")).select("token", "s.set", "s.n", "s.pos", "s.comp"), "leaders")
-            pairs = _pairs(postings, leaders, rule)
-        fresh = written(_verified(pairs, sets, rule), "verified")
-        links = fresh if links is None else links.unionByName(fresh)
-        found = written(components(links), "found")
-        if last:
-            break
-    empty = spark.createDataFrame([], "set binary, comp binary")
-    return empty if found is None else found.select(F.col("node").alias("set"), F.col("component").alias("comp"))
+    links = _star_links(active, sets, rule)
+    found = written(components(links), "found").select(F.col("node").alias("set"), F.col("component").alias("comp"))
+    members = active.select("set", "n").distinct().join(found, "set", "left").select("set", "n", F.coalesce("comp", "set").alias("comp"))
+    members = written(members, "members")
+    weights = written(members.groupBy("comp").agg(F.sum("n").alias("weight")), "weights")
+    postings = active.join(written(members.join(weights, "comp").select("set", "comp", "weight"), "weighed"), "set")
+    mixed = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    postings = written(postings.join(written(mixed, "mixed"), "token", "left_semi"), "postings")
+    touching = written(_touching(postings, rule), "touching")
+    more = _block_links(touching, members, sets, rule)
+    if not more.head(1):
+        return found
+    found = written(components(links.unionByName(more)), "found")
+    return found.select(F.col("node").alias("set"), F.col("component").alias("comp"))
 
 
 def similarity_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
