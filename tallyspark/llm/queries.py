@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, embeddings, jaccard, langid, media, sentencepieces
+from . import compression, embeddings, jaccard, langid, media, sentencepieces, tokenids, warc
+from .shared import new_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -74,3 +76,42 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    rows = pages.select(
+        F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")).alias("record_id"),
+        F.col("page_id").alias("order"),
+        F.col("url").alias("target_uri"),
+        F.col("html").cast("binary").alias("payload"),
+    )
+    path = new_path(spark, "archives")
+    warc.write(warc.with_revisits(rows), path)
+    back = warc.read(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    page = lambda name: F.substring_index(name, ":", -1).cast("long")
+    whole = F.col("record_type") == "response"
+    return back.select(
+        page("record_id").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+        "target_uri",
+    )
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    back = tokenids.encode_and_read(spark, docs, BYTE_BPE, new_path(spark, "ids"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_FIRST = "(select sha1(coalesce(html, '')) as d, max(page_id) as keeper from pages where octet_length(encode(coalesce(html, ''))) >= 1000 group by 1)"
+ORACLE_SQL = {
+    "op1_warc": f"""
+        select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+            case when keeper <> page_id then 'revisit' else 'response' end as record_type,
+            case when keeper <> page_id then keeper end as refers_to, url as target_uri
+        from pages left join {_FIRST} f on f.d = sha1(coalesce(html, '')) and octet_length(encode(coalesce(html, ''))) >= 1000""",
+}
