@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, embeddings, jaccard, langid, media, sentencepieces, tokenids, warc
+from . import compression, embeddings, jaccard, langid, media, mixing, sentencepieces, tokenids, warc
 from .shared import new_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -101,6 +101,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", "mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_key")
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     back = tokenids.encode_and_read(spark, docs, BYTE_BPE, new_path(spark, "ids"))
