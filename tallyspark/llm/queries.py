@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, embeddings, jaccard, langid, media, mixing, sentencepieces, tokenids, warc
+from . import compression, embeddings, jaccard, katz, langid, media, mixing, sentencepieces, tokenids, warc
 from .shared import new_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -112,6 +112,11 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return katz.fit(docs.withColumn("held_out", fold(7) == 2)).scores
+
+
 _FIRST = "(select sha1(coalesce(html, '')) as d, max(page_id) as keeper from pages where octet_length(encode(coalesce(html, ''))) >= 1000 group by 1)"
 ORACLE_SQL = {
     "op1_warc": f"""
