@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flattext import Hasher, find_words, mix, slices, text_bytes
-from .shared import forget, parts, written
+from .shared import forget, parts, release, written
 
 U = np.uint64
 END, BEGIN = U(0x51ED270B5AFE1E5D), U(0x3C6EF372FE94F82B)
@@ -339,7 +339,7 @@ def _scored(blocks: DataFrame, words: DataFrame, pairs: DataFrame, s: Statistics
     return _grouped(rows, "block", n, SCORED, work)
 
 
-BACKOFF = "kind string, block long, place int, value double, part int, hashes binary, backoffs binary"
+BACKOFF = "kind string, block long, part int, hashes binary, places binary, backoffs binary"
 
 
 def backoff(mass: np.ndarray, counts: np.ndarray, followers: np.ndarray) -> np.ndarray:
@@ -360,18 +360,30 @@ def _backoffs(scored: DataFrame, n: int) -> DataFrame:
         counts = np.zeros(len(names), np.int64)
         counts[at] = np.concatenate([unpack(r["counts"], np.int64) for r in own])
         value = backoff(mass, counts, followers)
-        yield ("model", None, None, None, part, pack_sorted(names), pack(value))
+        yield ("model", None, part, pack_sorted(names), None, pack(value))
         for r in rows:
             if r["kind"] == "need":
                 found = np.log10(value[np.searchsorted(names, unpack_sorted(r["hashes"]))])
                 who, where = np.unique(unpack(r["counts"], np.int64), return_inverse=True)
-                for place, total in zip(who.tolist(), np.bincount(where, found).tolist(), strict=True):
-                    yield ("sum", r["block"], place, total, part, None, None)
+                yield ("sum", r["block"], part, None, pack(who), pack(np.bincount(where, found)))
 
     rows = scored.where("kind <> 'doc'").select("kind", "part", "block", "hashes", "counts", "mass", "followers")
     return _grouped(rows, "part", n, BACKOFF, work)
 
 
+def _sums(backoffs: DataFrame, n: int) -> DataFrame:
+    """(block, place, more): all that backoffs add to a text's score."""
+
+    def work(block: int, rows: list[dict]) -> Iterator[tuple]:
+        places, at = np.unique(np.concatenate([unpack(r["places"], np.int64) for r in rows]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([unpack(r["backoffs"], np.float64) for r in rows]))
+        for place, total in zip(places.tolist(), sums.tolist(), strict=True):
+            yield block, place, total
+
+    rows = backoffs.where("kind = 'sum'").select("block", "places", "backoffs")
+    return _grouped(rows, "block", n, "block long, place int, more double", work)
+
+
 @dataclass
 class Model:
     """The tables, each by part of the hash range, and what is needed to read them."""
@@ -392,12 +404,15 @@ def fit(docs: DataFrame) -> Model:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
     blocks = written(_blocks(docs), "blocks")
     words = written(_totals(_sent(blocks, False, n_parts), n), "words")
+    release(spark)
     pairs = written(_totals(_sent(blocks, True, n_parts), n), "pairs")
     s = _statistics(words, pairs)
+    release(spark)
     scored = written(_scored(blocks, words, pairs, s, n_parts, n), "scored")
+    release(spark)
     backoffs = written(_backoffs(scored, n), "backoffs")
     forget(spark, blocks)
-    sums = backoffs.where("kind = 'sum'").groupBy("block", "place").agg(F.sum("value").alias("more"))
+    sums = _sums(backoffs, n)
     rows = scored.where("kind = 'doc'").join(sums, ["block", "place"], "left")
     scores = rows.select(
         "doc_id",

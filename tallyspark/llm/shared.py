@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,13 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written: it does when the driver's objects for them
+    are collected, which may otherwise come late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parts(spark: SparkSession) -> int:
     """Into how many parts to deal: as many as the session's shuffles have, which grows with the cluster's input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
