@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word n-grams have a similarity of at least a threshold, and the components
 they form.
 
-1. One pass gives each text its n-gram set's size and 128-bit name, and a sketch of n-gram frequencies of fixed size over
+1. One pass gives each text its n-gram set's size and 64-bit name, and a sketch of n-gram frequencies of fixed size over
    all texts. Equal sets are one class from here on, however many copies there are.
 2. A second pass orders each set rare first (by sketch, then hash) and emits its prefix: a pair above the threshold shares
    an n-gram of both prefixes. N-grams that only one class has in its prefix are dropped where they meet; what is left, a
@@ -13,7 +13,7 @@ they form.
    larger component that it shares an n-gram with, in blocks; pairs within a component are never looked at again, and pairs
    are never rows. No link between different components is lost, and no bound is set on partners.
 
-N-grams are compared by 64-bit hashes. Null and empty texts, and texts without words, have no n-grams and link with
+N-grams and sets are compared by 64-bit hashes: among c different sets, two share a name with a chance of c * c / 2**65. Null and empty texts, and texts without words, have no n-grams and link with
 nothing; a text with fewer words than n has one n-gram, all its words. Letters A-Z are lower-cased. A null id is no
 document and is left out.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .flattext import Hasher, find_words, mix, slices, text_bytes
-from .shared import forget, parts, written
+from .shared import forget, parts, release, written
 
 U = np.uint64
 SKETCH_BITS, CHUNK_BITS = 20, 16
@@ -41,7 +41,7 @@ RANGES = 16
 @dataclass(frozen=True)
 class Rule:
     """Links: percent * union <= 100 * intersection. frequent: how often the sketch must have counted an n-gram for its
-    postings to be dealt out by class too. broadcast_rows: up to how many active classes (24 bytes each) are broadcast.
+    postings to be dealt out by class too. broadcast_rows: up to how many active classes (16 bytes each) are broadcast.
     block_grams, block_rows: the size of the blocks in which classes are held against components."""
 
     n: int = 5
@@ -84,16 +84,13 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_names(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(texts, 2): two independent sums over each set."""
-    sums = [np.r_[U(0), np.cumsum(mix(flat * U(m) + U(m)))] for m in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-    return np.stack([mix(s[at[1:]] - s[at[:-1]]) for s in sums], axis=1)
+    """A 64-bit name of each set: a mixed sum over it, and its size."""
+    sums = np.r_[U(0), np.cumsum(mix(flat * U(0xA0761D6478BD642F) + U(1)))]
+    return mix((sums[at[1:]] - sums[at[:-1]]) * U(0xE7037ED1A0B428DB) + np.diff(at).astype(U))
 
 
-def binaries(values: np.ndarray) -> pa.Array:
-    """Rows of a two-column array of 64-bit values as 16-byte binaries."""
-    data = np.ascontiguousarray(values).tobytes()
-    ends = np.arange(0, 16 * len(values) + 1, 16, dtype=np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+def longs(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def slot(tokens: np.ndarray) -> np.ndarray:
@@ -111,14 +108,14 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
                 flat, at = shingles(own.column("text"), rule.n)
                 sketch += np.bincount(slot(flat), minlength=len(sketch)).astype(np.uint32)
                 none = [pa.nulls(own.num_rows, pa.int32()), pa.nulls(own.num_rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(np.diff(at)), binaries(set_names(flat, at)), *none], names)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(np.diff(at)), longs(set_names(flat, at)), *none], names)
         packer = zstandard.ZstdCompressor()
         rows = [(c, part) for c, part in enumerate(sketch.reshape(-1, 1 << CHUNK_BITS)) if part.any()]
-        empty = [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())]
+        empty = [pa.nulls(len(rows), pa.int64()) for _ in range(3)]
         columns = [pa.array([c for c, _ in rows], pa.int32()), pa.array([packer.compress(p.tobytes()) for _, p in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays([*empty, *columns], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, set binary, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, set long, chunk int, counts binary")
 
 
 def _sketch(survey: DataFrame) -> bytes:
@@ -142,7 +139,7 @@ def _sketch(survey: DataFrame) -> bytes:
     return zstandard.ZstdCompressor().compress(sketch.tobytes())
 
 
-ENTRY = np.dtype([("token", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def _prefixes(docs: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataFrame:
@@ -157,7 +154,7 @@ def _prefixes(docs: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
                 flat, at = shingles(own.column("text"), rule.n)
                 size = np.diff(at)
                 names = set_names(flat, at)
-                _, first = np.unique(names[:, 0], return_index=True)  # equal sets of this slice once
+                _, first = np.unique(names, return_index=True)  # equal sets of this slice once
                 chosen = np.zeros(len(size), bool)
                 chosen[first] = True
                 chosen &= size > 0
@@ -172,10 +169,10 @@ def _prefixes(docs: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
                 token, owner, pos = token[on], owner[on], pos[on]
                 entries = np.zeros(len(token), ENTRY)
                 entries["token"], entries["pos"], entries["n"] = token, pos, size[owner]
-                entries["a"], entries["b"] = names[owner, 0], names[owner, 1]
-                salt = np.where(frequency[slot(token)] >= rule.frequent, names[owner, 0], U(0))
+                entries["set"] = names[owner]
+                salt = np.where(frequency[slot(token)] >= rule.frequent, names[owner], U(0))
                 part = (mix(token ^ salt) % U(n_parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
+                order = np.lexsort((token, part))
                 part, entries = part[order], entries[order]
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
                 data = [packer.compress(columnar(entries[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -185,16 +182,21 @@ def _prefixes(docs: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
 
 
 def columnar(entries: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(entries[name]).tobytes() for name in ENTRY.names)
+    """Column by column; of the ascending n-grams the differences. Bytes of like weight stand together."""
+    token = np.diff(entries["token"], prepend=U(0))
+    columns = [token, *(np.ascontiguousarray(entries[name]) for name in ENTRY.names[1:])]
+    return b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
 
 
 def rows_of(data: bytes) -> np.ndarray:
     n = len(data) // ENTRY.itemsize
     out, at = np.zeros(n, ENTRY), 0
     for name in ENTRY.names:
-        width = ENTRY[name].itemsize
-        out[name] = np.frombuffer(data, ENTRY[name], n, at)
-        at += width * n
+        kind = ENTRY[name]
+        planes = np.frombuffer(data, np.uint8, kind.itemsize * n, at).reshape(kind.itemsize, n)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+        at += kind.itemsize * n
+    out["token"] = np.cumsum(out["token"], dtype=U)
     return out
 
 
@@ -209,14 +211,14 @@ def _active(packed: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
             if not held:
                 return
             e = np.concatenate(held)
-            e = e[np.lexsort((e["b"], e["a"], e["token"]))]
-            same = (e["token"][1:] == e["token"][:-1]) & (e["a"][1:] == e["a"][:-1]) & (e["b"][1:] == e["b"][:-1])
+            e = e[np.lexsort((e["set"], e["token"]))]
+            same = (e["token"][1:] == e["token"][:-1]) & (e["set"][1:] == e["set"][:-1])
             e = e[np.r_[True, ~same]]
             twin = e["token"][1:] == e["token"][:-1]
             e = e[np.r_[twin, False] | np.r_[False, twin] | (frequency[slot(e["token"])] >= rule.frequent)]
             for i in range(0, len(e), 50_000):
                 own = e[i : i + 50_000]
-                arrays = [pa.array(own["token"].astype(np.int64)), binaries(np.stack([own["a"], own["b"]], axis=1)), pa.array(own["n"]), pa.array(own["pos"])]
+                arrays = [longs(own["token"].copy()), longs(own["set"].copy()), pa.array(own["n"]), pa.array(own["pos"])]
                 yield pa.RecordBatch.from_arrays(arrays, ["token", "set", "n", "pos"])
 
         for batch in batches:
@@ -228,7 +230,7 @@ def _active(packed: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
         yield from flush()
 
     dealt = packed.repartition(n_parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "token long, set binary, n int, pos int")
+    return dealt.mapInArrow(run, "token long, set long, n int, pos int")
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -240,9 +242,9 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 flat, at = shingles(own.column("text"), rule.n)
                 raw = flat.tobytes()
                 data = [raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([binaries(set_names(flat, at)), pa.array(data, pa.binary())], ["set", "tokens"])
+                yield pa.RecordBatch.from_arrays([longs(set_names(flat, at)), pa.array(data, pa.binary())], ["set", "tokens"])
 
-    return docs.mapInArrow(run, "set binary, tokens binary")
+    return docs.mapInArrow(run, "set long, tokens binary")
 
 
 def linked(a: bytes, b: bytes, percent: int) -> bool:
@@ -267,7 +269,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     left = sets.select(F.col("set").alias("u"), F.col("tokens").alias("x"))
     right = sets.select(F.col("set").alias("v"), F.col("tokens").alias("y"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(run, "u binary, v binary")
+    return pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def _possible(rule: Rule) -> Column:
@@ -306,7 +308,7 @@ def _overlaps(rule: Rule):
         side, names = table["side"].to_numpy(), table["set"].to_pylist()
         tokens = [np.frombuffer(t, U) for t in table["tokens"].to_pylist()]
         mine, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple[int, int]] = []
         if len(mine) and len(others):
             sizes = np.array([len(tokens[i]) for i in mine])
             flat, owner = np.concatenate([tokens[i] for i in mine]), np.repeat(np.arange(len(mine)), sizes)
@@ -319,7 +321,7 @@ def _overlaps(rule: Rule):
                 on = np.flatnonzero(100 * shared >= rule.percent * (sizes + len(tokens[i]) - shared))
                 if len(on):
                     found.append((names[i], names[mine[on[0]]]))
-        return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     return run
 
@@ -336,13 +338,14 @@ def _block_links(touching: DataFrame, members: DataFrame, sets: DataFrame, rule:
     mine = members.select("set", "comp").join(blocks, "comp").select("set", "comp", place("xs").alias("xb"), spread("ys").alias("yb"), F.lit(0).alias("side"))
     others = touching.join(blocks, "comp").select("set", "comp", place("ys").alias("yb"), spread("xs").alias("xb"), F.lit(1).alias("side"))
     rows = mine.unionByName(others).join(sets, "set")
-    return written(rows.groupBy("comp", "xb", "yb").applyInArrow(_overlaps(rule), "u binary, v binary"), "verified")
+    return written(rows.groupBy("comp", "xb", "yb").applyInArrow(_overlaps(rule), "u long, v long"), "verified")
 
 
 def class_components(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(set, comp) of the classes that have links, comp being one of the component's classes."""
     links = _star_links(active, sets, rule)
     found = written(components(links), "found").select(F.col("node").alias("set"), F.col("component").alias("comp"))
+    release(active.sparkSession)
     members = active.select("set", "n").distinct().join(found, "set", "left").select("set", "n", F.coalesce("comp", "set").alias("comp"))
     members = written(members, "members")
     weights = written(members.groupBy("comp").agg(F.sum("n").alias("weight")), "weights")
@@ -350,6 +353,7 @@ def class_components(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFram
     mixed = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     postings = written(postings.join(written(mixed, "mixed"), "token", "left_semi"), "postings")
     touching = written(_touching(postings, rule), "touching")
+    release(active.sparkSession)
     more = _block_links(touching, members, sets, rule)
     if not more.head(1):
         return found
@@ -368,6 +372,7 @@ def similarity_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # no
     members = survey.where("chunk is null").select("doc_id", "n", "set")
     classes = written(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep")), "classes")
     active = written(_active(_prefixes(docs, sketch, rule, 4 * n_parts), sketch, rule, n_parts), "active")
+    release(spark)
     chosen = written(active.select("set").distinct(), "chosen")
     reps = written(classes.join(chosen, "set", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
     few = reps.count() <= rule.broadcast_rows
