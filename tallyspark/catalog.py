@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import summary
-from .operators.aggregates import Agg
+from .operators.aggregates import Agg, reduce_by
 from .operators.dictionary import encode
 from .plans.query import Query, Table
 from .plans.result import Result
@@ -124,7 +124,7 @@ def _fill() -> None:
     add("text_roundtrip_group", text_roundtrip, sql_select("events where user_id > 10", Agg.SUM, "value", "event_type"))
     add("text_max_rows", text_max_rows, sql_select("(select * from events order by event_id limit 777)", Agg.SUM, "value", "event_type"))
     add("stream_equals_batch", stream_rows, sql_select("events", Agg.SUM, "value", "event_type"))
-    add("ordered_groups", ordered_groups, f"select code as place, event_type as key, count(*) as n from events join {CODES_SQL} using (event_type) group by 1, 2")
+    add("ordered_groups", ordered_groups, "select event_type as key, count(*) as n, min(event_id) as first from events group by 1")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,10 +147,10 @@ def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups with their rank by first appearance."""
+    """Groups in the order of their first rows."""
     table = table_of(spark, sf_dir, "events")
-    frame = table.group_by("event_type").agg(Agg.COUNT, ordered=True).frame
-    return frame.select((F.monotonically_increasing_id()).alias("place"), "key", F.col("count").alias("n"))
+    frame = reduce_by(table.df, F.col("event_type"), Agg.COUNT, row=table.row).orderBy("first")
+    return frame.select("key", F.col("count").alias("n"), "first")
 
 
 EVENT_TEXT = {"event_id": "int64", "user_id": "int64", "event_type": "dict", "value": "float64"}
