@@ -34,7 +34,7 @@ from .flattext import Hasher, find_words, mix, slices, text_bytes
 from .shared import forget, parts, release, written
 
 U = np.uint64
-SKETCH_BITS, CHUNK_BITS = 20, 16
+SKETCH_BITS, CHUNK_BITS = 22, 18
 RANGES = 16
 
 
@@ -119,7 +119,7 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _sketch(survey: DataFrame) -> bytes:
-    """The sum over all partitions: 2**20 counters, whatever the input."""
+    """The sum over all partitions: 2**22 counters, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -279,14 +279,34 @@ def _possible(rule: Rule) -> Column:
     return short & (F.least(n - F.col("pos"), m - F.col("at")) >= rule.overlap(n, m))
 
 
-def _star_links(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+@dataclass(frozen=True)
+class Texts:
+    """Where the sets of classes come from: one document of each class is read again, only for classes that need it."""
+
+    docs: DataFrame
+    classes: DataFrame  # (set, rep)
+    rule: Rule
+
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """needed: set. A written table (set, tokens). The ids of the documents are broadcast if they are few."""
+        reps = written(self.classes.join(written(needed.distinct(), "needed"), "set", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
+        few = reps.count() <= self.rule.broadcast_rows
+        sets = _sets(self.docs.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi"), self.rule)
+        return written(sets, "sets")
+
+
+def _star_links(active: DataFrame, texts: Texts, rule: Rule) -> DataFrame:
     """Links between each n-gram's leader and the other classes that have it: no more candidates than postings."""
     rank = F.struct(F.xxhash64("set").alias("h"), "set", "n", "pos")
     leaders = active.groupBy("token").agg(F.min(rank).alias("s"))
     leaders = written(leaders.select("token", F.col("s.set").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("at")), "leaders")
     both = active.join(leaders, "token").where((F.col("set") != F.col("other")) & _possible(rule))
     pairs = both.select(F.least("set", "other").alias("u"), F.greatest("set", "other").alias("v")).distinct()
-    return written(_verified(pairs, sets, rule), "verified")
+    pairs = written(pairs, "pairs")
+    sets = texts.sets(pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))))
+    links = written(_verified(pairs, sets, rule), "verified")
+    forget(active.sparkSession, pairs, leaders, sets)
+    return links
 
 
 def _touching(postings: DataFrame, rule: Rule) -> DataFrame:
@@ -326,7 +346,7 @@ def _overlaps(rule: Rule):
     return run
 
 
-def _block_links(touching: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _block_links(touching: DataFrame, members: DataFrame, texts: Texts, rule: Rule) -> DataFrame:
     """Holds each class against all classes of the components that it touches, in blocks of bounded size on both sides.
     Classes and components are moved, pairs are not."""
     weights = members.groupBy("comp").agg(F.sum("n").alias("w"))
@@ -337,13 +357,16 @@ def _block_links(touching: DataFrame, members: DataFrame, sets: DataFrame, rule:
     place = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
     mine = members.select("set", "comp").join(blocks, "comp").select("set", "comp", place("xs").alias("xb"), spread("ys").alias("yb"), F.lit(0).alias("side"))
     others = touching.join(blocks, "comp").select("set", "comp", place("ys").alias("yb"), spread("xs").alias("xb"), F.lit(1).alias("side"))
-    rows = mine.unionByName(others).join(sets, "set")
-    return written(rows.groupBy("comp", "xb", "yb").applyInArrow(_overlaps(rule), "u long, v long"), "verified")
+    rows = written(mine.unionByName(others), "held")
+    sets = texts.sets(rows.select("set"))
+    links = written(rows.join(sets, "set").groupBy("comp", "xb", "yb").applyInArrow(_overlaps(rule), "u long, v long"), "verified")
+    forget(members.sparkSession, rows, sets)
+    return links
 
 
-def class_components(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def class_components(active: DataFrame, texts: Texts, rule: Rule) -> DataFrame:
     """(set, comp) of the classes that have links, comp being one of the component's classes."""
-    links = _star_links(active, sets, rule)
+    links = _star_links(active, texts, rule)
     found = written(components(links), "found").select(F.col("node").alias("set"), F.col("component").alias("comp"))
     release(active.sparkSession)
     members = active.select("set", "n").distinct().join(found, "set", "left").select("set", "n", F.coalesce("comp", "set").alias("comp"))
@@ -354,7 +377,7 @@ def class_components(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFram
     postings = written(postings.join(written(mixed, "mixed"), "token", "left_semi"), "postings")
     touching = written(_touching(postings, rule), "touching")
     release(active.sparkSession)
-    more = _block_links(touching, members, sets, rule)
+    more = _block_links(touching, members, texts, rule)
     if not more.head(1):
         return found
     found = written(components(links.unionByName(more)), "found")
@@ -373,15 +396,11 @@ def similarity_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # no
     classes = written(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep")), "classes")
     active = written(_active(_prefixes(docs, sketch, rule, 4 * n_parts), sketch, rule, n_parts), "active")
     release(spark)
-    chosen = written(active.select("set").distinct(), "chosen")
-    reps = written(classes.join(chosen, "set", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
-    few = reps.count() <= rule.broadcast_rows
-    wanted = docs.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi")
-    sets = written(_sets(wanted, rule), "sets")
-    comps = written(class_components(active, sets, rule), "comps")
+    comps = written(class_components(active, Texts(docs, classes, rule), rule), "comps")
     named = comps.join(classes, "set").groupBy("comp").agg(F.min("rep").alias("least"))
     merged = comps.join(written(named, "named"), "comp").select("set", "least")
     final = written(classes.join(merged, "set", "left").select("set", F.coalesce("least", "rep").alias("component_id")), "final")
-    forget(spark, chosen, reps, sets, active)
+    forget(spark, active)
+    release(spark)
     full = members.where("n > 0").join(final, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
