@@ -200,6 +200,22 @@ def rows_of(data: bytes) -> np.ndarray:
     return out
 
 
+def partnered(e: np.ndarray, rule: Rule, reach: int = 16) -> np.ndarray:
+    """Which postings, in order of n-gram, pass the length and positional filters with another one of their n-gram. Those
+    of n-grams with more postings than can be compared within reach all count as passing."""
+    cuts = np.flatnonzero(np.r_[True, e["token"][1:] != e["token"][:-1], True]) if len(e) else np.zeros(1, np.int64)
+    size = np.diff(cuts)
+    keep = np.repeat(size > reach, size)
+    n, rest = e["n"].astype(np.int64), (e["n"] - e["pos"]).astype(np.int64)
+    for k in range(1, min(reach, len(e))):
+        a, b = n[:-k], n[k:]
+        fits = (100 * np.minimum(a, b) >= rule.percent * np.maximum(a, b)) & (np.minimum(rest[:-k], rest[k:]) * (100 + rule.percent) >= rule.percent * (a + b))
+        fits &= e["token"][:-k] == e["token"][k:]
+        keep[:-k] |= fits
+        keep[k:] |= fits
+    return keep
+
+
 def _active(packed: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataFrame:
     """Postings of n-grams that two classes share, and all of frequent ones."""
 
@@ -216,6 +232,7 @@ def _active(packed: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
             e = e[np.r_[True, ~same]]
             twin = e["token"][1:] == e["token"][:-1]
             e = e[np.r_[twin, False] | np.r_[False, twin] | (frequency[slot(e["token"])] >= rule.frequent)]
+            e = e[partnered(e, rule) | (frequency[slot(e["token"])] >= rule.frequent)]
             for i in range(0, len(e), 50_000):
                 own = e[i : i + 50_000]
                 arrays = [longs(own["token"].copy()), longs(own["set"].copy()), pa.array(own["n"]), pa.array(own["pos"])]
