@@ -31,7 +31,7 @@ from .sentencepieces import Known
 from .shared import parts, written
 from .stores import read_file, write_file
 
-MAGIC, EVERY = b"RPIDS\x01\0\0", 4096
+MAGIC, EVERY, BLOCK = b"RPIDS\x01\0\0", 4096, 1 << 16
 # Bytes after a blank at which the text is not cut, as they are or begin white space.
 UNSURE = np.zeros(256, bool)
 UNSURE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -56,12 +56,28 @@ class TextCoder:
         from tokenizers import Tokenizer
 
         self.library, self.hasher, self.known = Tokenizer.from_file(path), Hasher(BYTES), Known()
+        # a byte is a character of a token
+        self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
 
     def units(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         coded = self.library.encode_batch_fast([r.decode("utf-8", "replace") for r in raw], add_special_tokens=False)
         ids = [c.ids for c in coded]
         return np.array([i for own in ids for i in own], np.int32), np.array([len(own) for own in ids], np.int64)
 
+    def joined(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for stretches that begin at a cut: encoded as one text a block, and told apart by the bytes of each id.
+        None if those do not add up to the stretches."""
+        ends = np.cumsum(sizes)
+        marks = np.unique(np.r_[0, np.searchsorted(ends, np.arange(BLOCK, len(raw), BLOCK)), len(sizes)])
+        at = np.r_[0, ends][marks]
+        coded = self.library.encode_batch_fast([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)
+        ids = np.concatenate([np.array(c.ids, np.int32) for c in coded])
+        reached = np.cumsum(self.widths[ids])
+        last = np.searchsorted(reached, ends)
+        if last[-1] != len(ids) - 1 or not np.array_equal(reached[last], ends):
+            return None
+        return ids, np.diff(np.r_[-1, last])
+
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after another, and the n + 1 places of the texts in them."""
         buf, places = text_bytes(column)
@@ -73,16 +89,22 @@ class TextCoder:
         first[places[:-1][np.diff(places) > 0]] = True
         starts = np.flatnonzero(first)
         ends = np.r_[starts[1:], len(buf)]
-        hashes, index, codes = np.unique(self.hasher(buf, starts, ends), return_index=True, return_inverse=True)
+        codes_of = self.hasher(buf, starts, ends)
+        hashes, index, codes = np.unique(codes_of, return_index=True, return_inverse=True)
         if len(self.known.hashes) > self.known.limit:
             self.known.clear()
         at = self.known.find(hashes)
         new = np.flatnonzero(at < 0)
         if len(new):
             own = index[new]
-            sizes = np.r_[0, np.cumsum(ends[own] - starts[own])]
-            raw = take_stretches(buf, starts[own], ends[own] - starts[own]).tobytes()
-            self.known.add(hashes[new], *self.units([raw[a:b] for a, b in zip(sizes[:-1], sizes[1:], strict=True)]))
+            cut = (buf[starts[own]] == 32) & ~UNSURE[buf[np.minimum(starts[own] + 1, len(buf) - 1)]] & (ends[own] > starts[own] + 1)
+            for some, together in ((own[cut], True), (own[~cut], False)):
+                if len(some):
+                    sizes = ends[some] - starts[some]
+                    raw = take_stretches(buf, starts[some], sizes)
+                    found = self.joined(raw, sizes) if together else None
+                    at = np.r_[0, np.cumsum(sizes)]
+                    self.known.add(codes_of[some], *(found or self.units([raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])))
             at = self.known.find(hashes)
         at = at[codes]
         counts = self.known.counts[at]
@@ -124,13 +146,18 @@ def compress(ids: np.ndarray, first_symbol: int, rule: Rule) -> tuple[np.ndarray
         if not len(chosen):
             break
         order = np.argsort(chosen)
-        keys = (seq[:-1] << 32) | seq[1:]
+        begins, ends = np.zeros(first_symbol + len(rules), bool), np.zeros(first_symbol + len(rules), bool)
+        begins[chosen >> 32], ends[chosen & 0xFFFFFFFF] = True, True
+        at = np.flatnonzero(begins[seq[:-1]] & ends[seq[1:]])
+        keys = (seq[at] << 32) | seq[at + 1]
         found = np.minimum(np.searchsorted(chosen[order], keys), len(chosen) - 1)
-        at = np.flatnonzero(chosen[order][found] == keys)
+        same = chosen[order][found] == keys
+        at, found = at[same], found[same]
         # occurrences overlap only in runs of one symbol: every second goes
         run = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
-        at = at[((at - np.repeat(at[run], np.diff(np.r_[run, len(at)]))) & 1) == 0]
-        seq[at] = first_symbol + len(rules) + order[found[at]]
+        even = ((at - np.repeat(at[run], np.diff(np.r_[run, len(at)]))) & 1) == 0
+        at, found = at[even], found[even]
+        seq[at] = first_symbol + len(rules) + order[found]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
