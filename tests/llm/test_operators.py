@@ -79,6 +79,16 @@ def test_grammar(seed):
     assert len(tokenids.Shard.build(np.zeros(0, int), np.zeros(0, int), ids[:0], 50, tokenids.Rule()).ids()) == 0
 
 
+def test_joined_stretches():
+    """Stretches encoded joined give the library's ids, also beside white space, special tokens and over block ends."""
+    coder, rng = tokenids.TextCoder(BYTE_BPE), random.Random(5)
+    some = [*"ab  \t\n\r'sl129.,<|>é中\u3000\xa0\u2003\x85\x1f😀", " the", " <|endoftext|>", "<|endoftext|>", "  "]
+    texts = ["", " ", " a", " ".join(f"w{i}" for i in range(20000))] + ["".join(rng.choices(some, k=rng.randrange(60))) for _ in range(3000)]
+    ids, places = coder.texts(pa.array(texts))
+    own = [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:], strict=True)]
+    assert own == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_media(spark):
     for n in (0, 1, 64, 65, 64 * 256, 64 * 257, 64 * 700 + 3):
         payload = media.padded(bytes(i % 251 for i in range(n)))
