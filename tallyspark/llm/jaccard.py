@@ -6,14 +6,16 @@ they form.
 2. A second pass orders each set rare first (by sketch, then hash) and emits its prefix: a pair above the threshold shares
    an n-gram of both prefixes. N-grams that only one class has in its prefix are dropped where they meet; what is left, a
    few per cent, are the active postings.
-3. Candidates pass length and positional filters on the shared n-gram, are made distinct, and are verified once: a suffix
-   filter bounds the overlap by counts over hash ranges before the sets are intersected.
+3. Candidates pass length and positional filters on the shared n-gram, are made distinct, and are verified once. Suffix
+   filters come first: bitmaps of the sets' parities, a few per cent of the sets' size, bound from below what only one of
+   two sets has, so most candidates go before sets are moved; counts over hash ranges bound the overlap.
 4. Components do not need all links within a group. In a first round each shared n-gram pairs one class, its leader, with
    the others; the components so found are contracted. In the second, every class is held against all classes of each
    larger component that it shares an n-gram with, in blocks; pairs within a component are never looked at again, and pairs
    are never rows. No link between different components is lost, and no bound is set on partners.
 
-N-grams and sets are compared by 64-bit hashes: among c different sets, two share a name with a chance of c * c / 2**65. Null and empty texts, and texts without words, have no n-grams and link with
+N-grams and sets are compared by 64-bit hashes: among c different sets, two share a name with a chance of c * c / 2**65.
+Overlaps of pairs are counted on 48 bits of them: sets of a and b n-grams share one falsely with a chance of a * b / 2**48. Null and empty texts, and texts without words, have no n-grams and link with
 nothing; a text with fewer words than n has one n-gram, all its words. Letters A-Z are lower-cased. A null id is no
 document and is left out.
 """
@@ -41,7 +43,8 @@ RANGES = 16
 @dataclass(frozen=True)
 class Rule:
     """Links: percent * union <= 100 * intersection. frequent: how often the sketch must have counted an n-gram for its
-    postings to be dealt out by class too. broadcast_rows: up to how many active classes (16 bytes each) are broadcast.
+    postings to be dealt out by class too. broadcast_rows: up to how many classes, or rows that ask for classes (at most 40
+    bytes each), are broadcast; beyond, both sides are dealt out.
     block_grams, block_rows: the size of the blocks in which classes are held against components."""
 
     n: int = 5
@@ -250,43 +253,88 @@ def _active(packed: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
     return dealt.mapInArrow(run, "token long, set long, n int, pos int")
 
 
+def pack_set(tokens: np.ndarray) -> bytes:
+    """48 bits of ascending hashes as differences, bytes of like weight together."""
+    steps = np.diff(tokens >> U(16), prepend=U(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    steps = np.zeros((len(data) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    return np.cumsum(steps.view(U).reshape(-1), dtype=U)
+
+
+def parities(tokens: np.ndarray) -> bytes:
+    """Which of a power of two of slots, two to four for an n-gram, hold an odd number of the set's n-grams."""
+    width = max(64, 2 << int(len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens & U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Parities for fewer slots, width bytes of them."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, width), axis=0)
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
+    """False where parities of sets of n and m n-grams differ in more slots than linked sets have n-grams that are in one of
+    them alone."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    need = -(-percent * (n + m) // (100 + percent))
+    return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64)) <= n + m - 2 * need
+
+
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(set, tokens): whole sets, as packed ascending hashes."""
+    """(set, size, bits, tokens): whole sets, packed, and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in slices(batch, "text"):
                 flat, at = shingles(own.column("text"), rule.n)
-                raw = flat.tobytes()
-                data = [raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([longs(set_names(flat, at)), pa.array(data, pa.binary())], ["set", "tokens"])
+                own_sets = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                bits, data = (pa.array([f(t) for t in own_sets], pa.binary()) for f in (parities, pack_set))
+                yield pa.RecordBatch.from_arrays([longs(set_names(flat, at)), pa.array(np.diff(at)), bits, data], ["set", "size", "bits", "tokens"])
 
-    return docs.mapInArrow(run, "set long, tokens binary")
+    return docs.mapInArrow(run, "set long, size long, bits binary, tokens binary")
 
 
 def linked(a: bytes, b: bytes, percent: int) -> bool:
     """Whether two sets reach the threshold. The suffix filter comes first: they share no more than the smaller count in
     each range of hashes."""
-    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    x, y = unpack_set(a), unpack_set(b)
     need = -(-percent * (len(x) + len(y)) // (100 + percent))
-    edges = np.arange(1, RANGES, dtype=U) << U(60)
+    edges = np.arange(1, RANGES, dtype=U) << U(44)
     by_range = [np.diff(np.r_[0, np.searchsorted(s, edges), len(s)]) for s in (x, y)]
     if int(np.minimum(*by_range).sum()) < need:
         return False
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (u, v) that reach the threshold."""
+def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule, columns: list[str], holds) -> DataFrame:
+    """The pairs (u, v) for which holds, given these columns of both sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = [linked(a, b, rule.percent) for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            values = [batch.column(side + c).to_pylist() for c in columns for side in ("x_", "y_")]
+            on = [holds(*v) for v in zip(*values, strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(on, pa.bool_()))
 
-    left = sets.select(F.col("set").alias("u"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("set").alias("v"), F.col("tokens").alias("y"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    left, right = (sets.select(F.col("set").alias(k), *(F.col(c).alias(side + c) for c in columns)) for k, side in (("u", "x_"), ("v", "y_")))
+    return _small(pairs, rule).join(right, "v").join(left, "u").select("u", "v", *(side + c for c in columns for side in ("x_", "y_"))).mapInArrow(run, "u long, v long")
+
+
+def _small(table: DataFrame, rule: Rule) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= rule.broadcast_rows else table
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (u, v) that reach the threshold: bitmaps decide about most others before whole sets are moved."""
+    percent = rule.percent
+    near = written(_checked(pairs, sets, rule, ["bits", "size"], lambda a, b, n, m: may_link(a, b, n, m, percent)), "near")
+    return _checked(near, sets, rule, ["tokens"], lambda a, b: linked(a, b, percent))
 
 
 def _possible(rule: Rule) -> Column:
@@ -305,10 +353,9 @@ class Texts:
     rule: Rule
 
     def sets(self, needed: DataFrame) -> DataFrame:
-        """needed: set. A written table (set, tokens). The ids of the documents are broadcast if they are few."""
+        """needed: set. A written table (set, size, bits, tokens). The ids of the documents are broadcast if they are few."""
         reps = written(self.classes.join(written(needed.distinct(), "needed"), "set", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
-        few = reps.count() <= self.rule.broadcast_rows
-        sets = _sets(self.docs.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi"), self.rule)
+        sets = _sets(self.docs.join(_small(reps, self.rule), "doc_id", "left_semi"), self.rule)
         return written(sets, "sets")
 
 
@@ -343,7 +390,7 @@ def _overlaps(rule: Rule):
     def run(_: tuple, table: pa.Table) -> pa.Table:
         """side 0: classes of a component; side 1: classes to be held against them. One link per class of side 1."""
         side, names = table["side"].to_numpy(), table["set"].to_pylist()
-        tokens = [np.frombuffer(t, U) for t in table["tokens"].to_pylist()]
+        tokens = [unpack_set(t) for t in table["tokens"].to_pylist()]
         mine, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found: list[tuple[int, int]] = []
         if len(mine) and len(others):
@@ -363,6 +410,32 @@ def _overlaps(rule: Rule):
     return run
 
 
+def _near_rows(rule: Rule):
+    def run(table: pa.Table) -> pa.Table:
+        """Rows of either side whose parities let them link with a row of the other side."""
+        side, size = table["side"].to_numpy(), table["size"].to_numpy()
+        bits = [np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()]
+        widths = np.array([len(b) for b in bits], np.int64)
+        keep = np.zeros(len(side), bool)
+        need = lambda total: -(-rule.percent * total // (100 + rule.percent))
+        groups = {}  # of side 0, by width
+        for w in np.unique(widths[side == 0]).tolist():
+            own = np.flatnonzero((side == 0) & (widths == w))
+            groups[w] = own, np.stack([bits[i] for i in own])
+        for i in np.flatnonzero(side == 1):
+            for w, (own, theirs) in groups.items():
+                width = min(w, int(widths[i]))
+                narrow = np.bitwise_xor.reduce(theirs.reshape(len(own), -1, width), axis=1)
+                differ = np.bitwise_count(narrow ^ folded(bits[i], width)).sum(axis=1, dtype=np.int64)
+                total = size[own] + size[i]
+                on = differ <= total - 2 * need(total)
+                keep[own[on]] = True
+                keep[i] |= bool(on.any())
+        return table.filter(pa.array(keep)).select(["set", "comp", "xb", "yb", "side"])
+
+    return run
+
+
 def _block_links(touching: DataFrame, members: DataFrame, texts: Texts, rule: Rule) -> DataFrame:
     """Holds each class against all classes of the components that it touches, in blocks of bounded size on both sides.
     Classes and components are moved, pairs are not."""
@@ -376,8 +449,11 @@ def _block_links(touching: DataFrame, members: DataFrame, texts: Texts, rule: Ru
     others = touching.join(blocks, "comp").select("set", "comp", place("ys").alias("yb"), spread("xs").alias("xb"), F.lit(1).alias("side"))
     rows = written(mine.unionByName(others), "held")
     sets = texts.sets(rows.select("set"))
-    links = written(rows.join(sets, "set").groupBy("comp", "xb", "yb").applyInArrow(_overlaps(rule), "u long, v long"), "verified")
-    forget(members.sparkSession, rows, sets)
+    key = ["comp", "xb", "yb"]
+    bitmaps = _small(rows, rule).join(sets.select("set", "size", "bits"), "set")
+    near = written(bitmaps.groupBy(*key).applyInArrow(_near_rows(rule), "set long, comp long, xb int, yb int, side int"), "near")
+    links = written(_small(near, rule).join(sets.select("set", "tokens"), "set").groupBy(*key).applyInArrow(_overlaps(rule), "u long, v long"), "verified")
+    forget(members.sparkSession, rows, near, sets)
     return links
 
 

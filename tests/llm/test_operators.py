@@ -124,6 +124,25 @@ def test_warc(spark):
     assert warc.read(spark, path).where("target_uri in ('http://h/1', 'http://h/9')").count() == 2
 
 
+def test_jaccard_bitmaps():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 60, 400, 3000):
+        pool = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+        for share in (0.5, 0.8, 0.95, 1.0):
+            one, other = (np.sort(rng.choice(pool[: max(1, int(n / share))], min(n, len(pool)), replace=False)) if n > 1 else pool[:1] for _ in range(2))
+            if share == 0.95:
+                other = other[: max(1, int(len(other) * 0.8))]
+            packed = [jaccard.pack_set(x) for x in (one, other)]
+            assert (jaccard.unpack_set(packed[0]) == one >> np.uint64(16)).all()
+            shared = len(np.intersect1d(one, other))
+            really = 100 * shared >= 75 * (len(one) + len(other) - shared)
+            assert jaccard.linked(*packed, 75) == really
+            near = jaccard.may_link(jaccard.parities(one), jaccard.parities(other), len(one), len(other), 75)
+            assert near or not really
+    apart = [np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(2)]
+    assert not jaccard.may_link(*map(jaccard.parities, apart), 500, 500, 75)
+
+
 def test_jaccard(spark):
     base = prose(1, 400)
     texts = [None, "", "One two three", "one TWO three", "one two", base, base, base.upper()]
