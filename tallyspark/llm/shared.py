@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,11 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results are written: it does when the driver's objects for them
-    are collected, which may otherwise come late."""
-    gc.collect()
-    spark._jvm.System.gc()
+    are collected, which may otherwise come late. The first round drops what Python held of them, the second finds them."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def parts(spark: SparkSession) -> int:
