@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import ATTRIBUTION_ORDER
+from ..schema import ATTRIBUTION
 
 # Rates, span and cardinalities of the log that is imitated.
 CONVERSION_RATE, CLICK_RATE, ATTRIBUTED_RATE = 0.0027, 0.05, 0.55
@@ -53,7 +53,7 @@ def attribution_log(spark: SparkSession, rows: int, seed: int = 7, campaigns: in
         }
     )
     log = log.withColumn("click_pos", one("click", F.floor(F.rand(next(draws)) * F.col("click_nb")).cast("bigint"), -1))
-    return log.select(*ATTRIBUTION_ORDER)
+    return log.select(*ATTRIBUTION)
 
 
 def write_log(log: DataFrame, path: str, sep: str = "\t") -> None:
