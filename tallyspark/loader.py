@@ -38,10 +38,10 @@ def load(
 
 
 def report(table: Table, path: str) -> IngestReport:
-    """Reads and parses all rows; rows, MB of source and seconds."""
+    """Reads and parses all rows; rows, MB of source, seconds, and MB that the columns take in memory."""
     spark, began = table.df.sparkSession, time.perf_counter()
     parsed = table.df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*(f"`{c}`" for c in table.columns)))).head()
     seconds = time.perf_counter() - began
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    return IngestReport(parsed[0], size / 1e6, seconds)
+    return IngestReport(parsed[0], size / 1e6, seconds, table.resident_mb)

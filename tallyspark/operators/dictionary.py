@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_seen(df: DataFrame, column: str, row: str) -> DataFrame:
@@ -11,19 +12,27 @@ def first_seen(df: DataFrame, column: str, row: str) -> DataFrame:
     return df.groupBy(F.col(f"`{column}`").alias("key")).agg(F.min(row).alias("first"))
 
 
+def _stretch(df: DataFrame, row: str) -> Column:
+    """Cuts the rows' order into stretches of bounded size: of a file's split, or of a million numbered rows. Rows ordered
+    by anything else are one stretch."""
+    kind = df.schema[row].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.shiftright(F.col("first"), 20)
+    if isinstance(kind, T.StructType) and kind.fields and isinstance(kind.fields[-1].dataType, T.LongType):
+        return F.struct(*(F.col(f"first.{f.name}") for f in kind.fields[:-1]), F.shiftright(F.col(f"first.{kind.fields[-1].name}"), 20).alias("n"))
+    return F.lit(0)
+
+
 def codes(df: DataFrame, column: str, row: str) -> DataFrame:
-    """(key, code bigint from 0). The rank is distributed: sorted by ranges, numbered within each, and shifted by the
-    rows of the ranges before it, of which there are as many as partitions."""
-    ranked = (
-        first_seen(df, column, row)
-        .orderBy("first")
-        .select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n"))
-        .persist()  # both readers below must see the same ranges
-    )
-    sizes = ranked.groupBy("part").agg(F.count("*").alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    """(key, code bigint from 0). The rank is distributed, and the same whenever it is computed again: places are numbered
+    within stretches of the rows' order, and shifted by the categories of the stretches before."""
+    seen = first_seen(df, column, row).select("key", "first", _stretch(df, row).alias("part"))
+    inside = Window.partitionBy("part").orderBy("first")
+    ranked = seen.select("key", "part", (F.row_number().over(inside) - 1).alias("n"))
+    sizes = seen.groupBy("part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
     shifts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
-    return ranked.join(F.broadcast(shifts), "part").select("key", (F.col("n") + F.col("shift")).cast("bigint").alias("code"))
+    return ranked.join(shifts, "part").select("key", (F.col("n") + F.col("shift")).cast("bigint").alias("code"))
 
 
 def encode(df: DataFrame, column: str, row: str) -> DataFrame:

@@ -12,27 +12,34 @@ from pyspark.sql import functions as F
 from ..functions.keys import numeric_key, shown_key
 from ..operators import summary
 from ..operators.aggregates import Agg, reduce_all, reduce_by
-from ..operators.dictionary import codes
-from ..operators.predicates import operator_of, passing_rows
-from ..schema import DICT, kind_of
+from ..operators.dictionary import codes, first_seen
+from ..operators.predicates import operator_of, passing_rows, pushable
+from ..schema import DICT, default_of, kind_of
 from ..sources.delimited import ROW
 from .result import Result
 
 
+#: Column of a category's code while groups are formed.
+CODE = "__code"
+
+
 @dataclass(frozen=True)
 class IngestReport:
     rows: int
     source_mb: float
     seconds: float
+    resident_mb: float = 0.0
 
     def __str__(self) -> str:
         s = max(self.seconds, 1e-9)
-        return f"{self.rows} rows in {self.seconds:.2f} s ({self.rows / s / 1e6:.2f} Mrows/s, {self.source_mb / s:.1f} MB/s)"
+        # The figures and units of the report.
+        return f"{self.rows} rows in {self.seconds:.2f} s ({self.rows / s / 1e6:.2f} Mrows/s, {self.source_mb / s:.1f} MB/s), {self.resident_mb:.1f} MB resident"
 
 
 class Table:
     """A frame of int64, float64 and dict columns. row: the column that gives the rows' order, which only the order of
-    first appearance, head() and max_rows look at; by default the frame's own order."""
+    first appearance, head() and max_rows look at; by default the frame's own order. Nulls are read as 0, 0.0 and "":
+    `df` has them so, `raw` as they came, which is what filters can be pushed down to."""
 
     def __init__(self, df: DataFrame, row: str | None = None) -> None:
         self.row = row or ROW
@@ -40,7 +47,17 @@ class Table:
             df = df.withColumn(self.row, F.monotonically_increasing_id())
         kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields if f.name != ROW}
         self.kinds: dict[str, str] = {name: kind for name, kind in kinds.items() if kind}
-        self.df = df
+        self.raw = df
+
+    def without_nulls(self, df: DataFrame) -> DataFrame:
+        """Rows of this table, with defaults for nulls; other columns stay."""
+        whole = {f.name for f in df.schema.fields if not f.nullable}
+        typed = {name: F.coalesce(F.col(f"`{name}`"), default_of(kind)) for name, kind in self.kinds.items() if name not in whole}
+        return df.withColumns(typed) if typed else df
+
+    @property
+    def df(self) -> DataFrame:
+        return self.without_nulls(self.raw)
 
     @property
     def columns(self) -> list[str]:
@@ -56,14 +73,14 @@ class Table:
 
     @cached_property
     def num_rows(self) -> int:
-        return self.df.count()
+        return self.raw.count()
 
     @cached_property
     def resident_mb(self) -> float:
         return summary.text_bytes(self.df, self.kinds) / 1e6
 
     def persist(self) -> Table:
-        self.df = self.df.persist()
+        self.raw = self.raw.persist()
         return self
 
     def kind(self, column: str | int) -> str:
@@ -164,13 +181,23 @@ class Query:
         return replace(self, parallel=max(0, int(n)))
 
     def rows(self) -> DataFrame:
-        df = self.table.df.coalesce(self.parallel) if self.parallel else self.table.df
+        """Tests that a scan can use come first; those of a category's place look it up in the whole table."""
+        df = self.table.raw.coalesce(self.parallel) if self.parallel else self.table.raw
+        places = []
         for column, op, value in self.tests:
-            df = passing_rows(df, column, self.table.kind(column), op, value, self.table.row)
+            test = pushable(column, self.table.kind(column), op, value)
+            if test is None:
+                places.append((column, op, value))
+            else:
+                df = df.where(test)
+        df = self.table.without_nulls(df)
+        for column, op, value in places:
+            df = passing_rows(df, self.table.df, column, op, value, self.table.row)
         return df
 
     def agg(self, agg: Agg, metric: str = "", ordered: bool = False) -> Result:
-        """ordered: groups in the order of their first row that passes."""
+        """ordered: categories in the order of their first appearance in the whole table, numbers of their first row that
+        passes."""
         kind = None
         if agg is Agg.COUNT:
             metric = ""
@@ -188,12 +215,15 @@ class Query:
         else:
             key_kind = self.table.kind(self.key)
             if key_kind == DICT and self.bucket:
-                coded = codes(self.table.df, self.key, self.table.row).select(F.col("key").alias(self.key), "code")
+                coded = codes(self.table.df, self.key, self.table.row).select(F.col("key").alias(self.key), F.col("code").alias(CODE))
                 df = df.join(coded, self.key)
-                key = F.call_function("div", F.col("code"), F.lit(self.bucket).cast("bigint")) * self.bucket
+                key = F.call_function("div", F.col(CODE), F.lit(self.bucket).cast("bigint")) * self.bucket
             else:
                 key = F.col(f"`{self.key}`") if key_kind == DICT else numeric_key(self.key, key_kind, self.bucket)
-            frame = reduce_by(df, key, agg, metric, kind, self.table.row if ordered else None)
+            by_category = key_kind == DICT and not self.bucket
+            frame = reduce_by(df, key, agg, metric, kind, self.table.row if ordered and not by_category else None)
+            if ordered and by_category:
+                frame = frame.join(first_seen(self.table.df, self.key, self.table.row), "key")
             frame = frame.orderBy("first").drop("first") if ordered else frame
             frame = frame.select(shown_key(F.col("key")).alias("key"), "count", "value")
         return Result(frame, agg, metric, self.key, self, began)

@@ -105,6 +105,7 @@ class Result:
         return pa.table(self.to_dict())
 
     def to_string(self, max_rows: int = 20) -> str:
+        # The report's wording, widths and digits.
         label = f"{self.agg.value}({self.metric or '*'})"
         if not self.grouped:
             out = [f"{label} = {self.values[0]:.6g}   [{self.counts[0]} rows matched]"]

@@ -9,6 +9,7 @@ from tallyspark import Agg, Table
 from tallyspark.operators import dictionary
 from tallyspark.schema import attribution_schema, resolve
 
+# The six-row log; the answers below follow from it.
 ROWS = [(10, "A", 1, 0, 1.0), (20, "A", 0, 0, 2.0), (30, "B", 1, 1, 3.0), (40, "B", 1, 0, 4.0), (50, "C", 0, 0, 5.0), (60, "A", 1, 1, 6.0)]
 
 
@@ -165,3 +166,51 @@ def test_schema():
     kinds = attribution_schema()
     assert len(kinds) == 22 and list(kinds.values()).count("int64") == 10 and kinds["cpo"] == "float64"
     assert F is not None
+
+
+def test_ranges_look_at_the_whole_table(log):
+    """Of clicks alone, B would appear before A's second row; the dictionary doesn't change with other tests."""
+    assert log.filter(click=0).where("campaign", "<", "B").count().counts[0] == 1
+    assert log.where("campaign", "<", "B").filter(click=0).count().counts[0] == 1
+    assert log.where("timestamp", ">", 20).where_code("campaign", "<=", 0).count().counts[0] == 1
+    assert log.query().where_code("campaign", "<=", 0).where("timestamp", ">", 20).count().counts[0] == 1
+    assert log.where("timestamp", ">", 20).group_by("campaign").agg(Agg.COUNT, ordered=True).keys == ["A", "B", "C"]
+
+
+def test_a_column_may_be_called_code(spark):
+    table = Table(spark.createDataFrame([(0, "x", 5), (1, "y", 6), (2, "z", 7)], "id long, k string, code long"), row="id")
+    assert groups(table.group_by("k", 2).sum("code")) == {"0": 11.0, "2": 7.0}
+
+
+def test_nulls_are_defaults(spark):
+    rows = [(0, None, None, 1.5), (1, "a", 3, None), (2, "a", None, float("nan"))]
+    table = Table(spark.createDataFrame(rows, "id long, k string, n long, v double"), row="id")
+    assert table.where("k", "!=", "a").count().counts[0] == 1 and table.where("k", "==", "").count().counts[0] == 1
+    assert table.where("n", "<", 2).count().counts[0] == 2 and table.where("n", ">", 2).count().counts[0] == 1
+    assert table.where("v", "==", 0).count().counts[0] == 1 and table.where("v", "!=", 0).count().counts[0] == 2
+    assert table.min("v").values[0] == 0.0 and table.where("k", "<", "a").count().counts[0] == 1
+    assert groups(table.group_by("k").count()) == {"": 1.0, "a": 2.0} and groups(table.group_by("v").count()) == {"1": 1.0, "0": 1.0, "nan": 1.0}
+    assert table.group_by("k").agg(Agg.COUNT, ordered=True).keys == ["", "a"]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("id as n", "cast(id as string) as k").write.parquet(str(tmp_path / "t.parquet"))
+    table = Table(spark.read.parquet(str(tmp_path / "t.parquet")))
+    plan = table.where("n", ">", 5).where("k", "==", "7").count().frame._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(n,5)" in plan and "EqualTo(k,7)" in plan
+
+
+def test_no_job_before_an_export(spark, log):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "none")
+    log.where("campaign", "<", "B").where_code("campaign", ">=", 0).group_by("campaign", 2).sum("cost").top(1)
+    jobs = tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
+
+
+def test_codes_over_several_stretches(spark):
+    df = spark.range(0, 4 << 20, 1, 3).selectExpr("id", "cast(greatest(id div 300000, id % 3) as string) as k")
+    found = {r["key"]: r["code"] for r in dictionary.codes(df, "k", "id").collect()}
+    first = {r["k"]: r["f"] for r in df.groupBy("k").agg(F.min("id").alias("f")).collect()}
+    assert found == {k: i for i, k in enumerate(sorted(first, key=first.get))}
