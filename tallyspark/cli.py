@@ -14,7 +14,6 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .functions.parsing import FLOAT_PREFIX
 from .loader import load
 from .operators.aggregates import Agg
 from .operators.predicates import OPERATORS
@@ -54,10 +53,18 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+# What the C library's strtod takes as a number's beginning.
+NUMBER = re.compile(r"\s*([-+]?)(?:(0x(?:[0-9a-f]+\.?[0-9a-f]*|\.[0-9a-f]+)(?:p[-+]?[0-9]+)?)|((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[-+]?[0-9]+)?)|(inf(?:inity)?)|(nan))", re.I)
+
+
 def number(text: str) -> float:
-    """The number a text begins with, 0.0 if it has none."""
-    found = re.match(FLOAT_PREFIX, text.strip())
-    return float(found[0]) if found else 0.0
+    """The number a text begins with, as strtod reads it; 0.0 if it has none."""
+    found = NUMBER.match(text)
+    if not found:
+        return 0.0
+    sign, hexa, plain, _, nan = found.groups()
+    size = float.fromhex(hexa) if hexa else float(plain) if plain else float("nan") if nan else float("inf")
+    return -size if sign == "-" else size
 
 
 def run_query(spark: SparkSession, o: argparse.Namespace) -> str:
@@ -82,15 +89,14 @@ def run_stream(spark: SparkSession, o: argparse.Namespace) -> str:
             table.insert(line)
             if table.batches_flushed > shown:
                 shown = table.batches_flushed
-                print(f"[stream] visible={table.visible_rows} pending={table.pending_rows} click==1 so far={table.query(clicks)}")
+                print(f"batch {shown}: {table.visible_rows} rows, {table.pending_rows} waiting, {table.query(clicks)} clicks")
             if o.limit and n >= o.limit:
                 break
         table.flush_sync()
         s = time.perf_counter() - began
         top = table.query(lambda t: t.group_by("campaign").count().sort_by_value_desc().to_string(5))
         return (
-            f"[stream] done: {table.visible_rows} rows visible, {table.batches_flushed} batches flushed in {s:.2f}s "
-            f"({table.visible_rows / s / 1e6:.2f} Mrows/s)\n{top}"
+            f"{table.visible_rows} rows in {table.batches_flushed} batches, {s:.2f} s ({table.visible_rows / s / 1e6:.2f} million rows a second)\n{top}"
         )
 
 
@@ -102,7 +108,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     for _, op, _ in getattr(o, "where", []):
         if op not in OPERATORS:
-            print(f"unknown comparator '{op}'", file=sys.stderr)
+            print(f"{op}: no such operator; use one of {' '.join(OPERATORS)}", file=sys.stderr)
             return 2
     try:
         spark = SparkSession.builder.appName("tallyspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()

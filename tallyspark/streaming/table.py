@@ -3,12 +3,13 @@
 insert() gathers lines on the driver and hands each full buffer to the source folder as one file. A Structured Streaming
 query takes a file per micro-batch, parses it by the same expressions as the bulk loader, and writes a Parquet folder
 named after the batch; a replayed batch overwrites its own folder, so each row counts once. Queries read the folders of
-the batches that have ended, so a batch becomes visible as a whole. A blank line is a row of defaults here.
+the batches that have ended, so a batch becomes visible as a whole. Folders are merged, so many small ones to one of the next
+size, so their number grows with the logarithm of the batches; merged folders stay for queries that still read them. A
+blank line is a row of defaults here.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 from typing import TypeVar
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..folders import shared_folder
 from ..plans.query import Table
 from ..schema import SPARK_TYPES, resolve
-from ..sources.delimited import ROW, bind_header, typed_fields
+from ..sources.delimited import ROW, bind_header, typed_fields, without_cr
 
 R = TypeVar("R")
+#: How many folders of one size are merged to one of the next.
+MERGE = 16
 
 
 class StreamingTable:
@@ -41,11 +45,11 @@ class StreamingTable:
         self.kinds, self.sep = resolve(schema), delimiter[:1] or "\t"
         self.positions = bind_header(header, self.kinds, self.sep) if header else {n: i for i, n in enumerate(self.kinds)}
         self.threshold, self.capacity = max(1, flush_threshold), max(1, queue_capacity)
-        shared = path or self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-")
-        self.root = f"{shared}/stream-{uuid.uuid4().hex}"
+        self.root = f"{path or shared_folder(self.spark)}/stream-{uuid.uuid4().hex}"
         self._buffer: list[str] = []
         self._inserted = self._visible = self._files = 0
         self._batches: dict[int, int] = {}
+        self._folders: list[tuple[int, str]] = []  # level and path, in the order of their rows
         self._query = None
 
     # --- writing
@@ -78,13 +82,27 @@ class StreamingTable:
         )
 
     def _apply(self, lines: DataFrame, batch: int) -> None:
+        if batch in self._batches:  # it ended before
+            return
         place = F.struct(F.lit(batch).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("n")).alias(ROW)
-        numbered = lines.select(F.regexp_replace("value", "\r$", "").alias("value"), place)
+        numbered = lines.select(without_cr(F.col("value")).alias("value"), place)
         out = f"{self.root}/table/batch={batch}"
         typed_fields(numbered, self.positions, self.kinds, self.sep).write.mode("overwrite").parquet(out)
         rows = lines.sparkSession.read.parquet(out).count()  # from the footers
+        self._folders = self._merged(lines.sparkSession, [*self._folders, (0, out)])
         self._batches[batch] = rows
-        self._visible = sum(self._batches.values())
+        self._visible += rows
+
+    def _merged(self, spark: SparkSession, folders: list[tuple[int, str]]) -> list[tuple[int, str]]:
+        while len(folders) >= MERGE and folders[-MERGE][0] == folders[-1][0]:
+            level, path = folders[-1][0] + 1, f"{self.root}/table/merged-{uuid.uuid4().hex}"
+            spark.read.schema(self._row_schema()).parquet(*(f for _, f in folders[-MERGE:])).coalesce(max(1, level)).write.parquet(path)
+            folders = [*folders[:-MERGE], (level, path)]
+        return folders
+
+    def _row_schema(self) -> T.StructType:
+        row = T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.LongType())])
+        return T.StructType([*(T.StructField(name, SPARK_TYPES[self.kinds[name]]) for name in self.positions), T.StructField(ROW, row)])
 
     def flush_sync(self) -> None:
         """All rows inserted so far are visible when this returns."""
@@ -116,10 +134,7 @@ class StreamingTable:
 
     def snapshot(self) -> Table:
         """The rows of the batches that have ended."""
-        folders = [f"{self.root}/table/batch={batch}" for batch in sorted(self._batches)]
-        row = T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.LongType())])
-        fields = [T.StructField(name, SPARK_TYPES[self.kinds[name]]) for name in self.positions]
-        schema = T.StructType([*fields, T.StructField(ROW, row)])
+        folders, schema = [path for _, path in self._folders], self._row_schema()
         df = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
         return Table(df)
 

@@ -1,12 +1,16 @@
 """Delimited text, Parquet, streams, the generator and the command line."""
 
+import math
+
 import pytest
 
-from tallyspark import StreamingTable, load
+from tallyspark import Agg, StreamingTable, load
 from tallyspark.cli import main
 from tallyspark.loader import report
+from tallyspark.sources.delimited import read_delimited
 from tallyspark.sources.generator import attribution_log, write_log
 
+# The six-row log and its columns.
 SCHEMA = {"timestamp": "int", "campaign": "str", "click": "i64", "conversion": "int64", "cost": "double"}
 LINES = ["10\tA\t1\t0\t1.0", "20\tA\t0\t0\t2.0", "30\tB\t1\t1\t3.0", "40\tB\t1\t0\t4.0", "50\tC\t0\t0\t5.0", "60\tA\t1\t1\t6.0"]
 HEADER = "timestamp\tcampaign\tclick\tconversion\tcost"
@@ -85,4 +89,53 @@ def test_command_line(spark, tmp_path, capsys):
     one = str(tmp_path / "one.tsv")
     lines = spark.read.text(path).collect()
     write(tmp_path / "one.tsv", "\n".join(r[0] for r in lines[:200]))
-    assert main(["stream", one, "--threshold", "100"]) == 0 and "batches flushed" in capsys.readouterr().out
+    assert main(["stream", one, "--threshold", "100"]) == 0 and "199 rows in 2 batches" in capsys.readouterr().out
+
+
+def test_only_the_header_is_dropped(spark, tmp_path):
+    (tmp_path / "one.tsv").write_text("k\tn\nk\tn\na\t1\nk\tn\n")
+    (tmp_path / "two").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "two" / name).write_text("k\tn\nk\tn\na\t1\n")
+    kinds = {"k": "dict", "n": "int"}
+    for path, want in ((tmp_path / "one.tsv", ["a", "k", "k"]), (tmp_path / "two", ["a", "a", "k", "k"])):
+        assert sorted(r["k"] for r in read_delimited(spark, str(path), "\t", kinds).collect()) == want
+    assert [r["k"] for r in read_delimited(spark, str(tmp_path / "two"), "\t", kinds, max_rows=3).collect()] == ["k", "a", "k"]
+
+
+@pytest.mark.parametrize("sep", ["|", ".", "^", "a", " ", "\\", "$"])
+def test_separators(spark, tmp_path, sep):
+    (tmp_path / "t").write_text(f"k{sep}n\nx{sep}{sep}\ny{sep}7\r\n")
+    rows = read_delimited(spark, str(tmp_path / "t"), sep, {"k": "dict", "n": "int"}).collect()
+    assert [(r["k"], r["n"]) for r in rows] == [("x", 0), ("y", 7)]
+
+
+def test_constants_of_the_command_line():
+    from tallyspark.cli import number
+
+    given = {"+5": 5, " 7x": 7, "-inf": -math.inf, "Infinity": math.inf, "0x1p3": 8, "1e3z": 1000, ".5": 0.5, "5.": 5, "": 0, "x": 0, "-": 0, "1e": 1, "0x": 0}
+    assert {k: number(k) for k in given} == given and math.isnan(number("nan"))
+
+
+def test_folders_of_a_stream_are_merged(spark, tmp_path):
+    from tallyspark.streaming import table as streaming
+
+    with streaming.StreamingTable({"k": "dict", "n": "int"}, 1, spark=spark, path=str(tmp_path)) as table:
+        table.insert_all(f"k{i % 3}\t{i}" for i in range(streaming.MERGE + 2))
+        table.flush_sync()
+        assert len(table._folders) == 3 and table.visible_rows == streaming.MERGE + 2
+        assert table.query(lambda t: int(t.sum("n").values[0])) == sum(range(streaming.MERGE + 2))
+        assert table.query(lambda t: t.group_by("k").agg(Agg.COUNT, ordered=True).keys) == ["k0", "k1", "k2"]
+
+
+def test_no_temporary_folder_on_a_cluster():
+    from tallyspark.folders import shared_folder
+
+    class Session:
+        def __init__(self, **held):
+            self.conf = held
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session(**{"spark.master": "spark://host:7077"}))
+    assert shared_folder(Session(**{"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
+    assert shared_folder(Session(**{"spark.master": "local[2]"}))
