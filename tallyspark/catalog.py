@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folders import shared_folder
+from .loader import load, report
 from .operators import summary
 from .operators.aggregates import Agg, reduce_by
 from .operators.dictionary import encode
 from .plans.query import Query, Table
 from .plans.result import Result
+from .schema import ATTRIBUTION, DICT, FLOAT64, INT64
 from .sources.delimited import ROW, read_delimited
 from .streaming.table import StreamingTable
 
@@ -126,6 +128,38 @@ def _fill() -> None:
     add("stream_equals_batch", stream_rows, sql_select("events", Agg.SUM, "value", "event_type"))
     add("ordered_groups", ordered_groups, "select event_type as key, count(*) as n, min(event_id) as first from events group by 1")
 
+    below = f"events join {CODES_SQL} using (event_type) where value > 50 and code < (select code from {CODES_SQL} where event_type = 'view')"
+    simple("filter_then_dict_range", "events", lambda q: q.where("value", ">", 50).where("event_type", "<", "view"), Agg.COUNT, "", sql_select(below, Agg.COUNT, ""))
+    simple("dict_range_then_filter", "events", lambda q: q.where("event_type", "<", "view").where("value", ">", 50), Agg.COUNT, "", sql_select(below, Agg.COUNT, ""))
+    coded = f"events join {CODES_SQL} using (event_type) where user_id = 7 and code <= 1"
+    simple("filter_then_dict_code", "events", lambda q: q.where("user_id", "==", 7).where_code("event_type", "<=", 1), Agg.COUNT, "", sql_select(coded, Agg.COUNT, ""))
+    simple("threads_hint", "events", lambda q: q.threads(2).group_by("event_type"), Agg.SUM, "value", sql_select("events", Agg.SUM, "value", "event_type"))
+    of_user = f"(select event_type, min(code) as code, count(*) as n from events join {CODES_SQL} using (event_type) where user_id = 3 group by 1)"
+    add("ordered_groups_filtered", ordered_groups_filtered, f"select row_number() over (order by code) - 1 as place, event_type as key, n from {of_user}")
+    grouped = "select event_type, count(*) as count, round(sum(value), 2) + 0.0 as sum_value from events group by 1"
+    for name, export in EXPORTS.items():
+        add(f"export_{name}", lambda spark, d, export=export: exported(spark, d, export), grouped)
+    add("export_string", export_string, "select printf('%-24s %12d %14.6g', l_returnflag, count(*), sum(l_quantity)) as line from lineitem group by l_returnflag")
+    add("head_text", head_text, "select printf('%d%s%d%s%s%s%.6f%s', event_id, chr(9), user_id, chr(9), event_type, chr(9), value, chr(9)) as line from (select * from events order by event_id limit 5)")
+    add("column_access", lambda spark, d: table_of(spark, d, "events").column("value"), "select value from events")
+    add("resident_bytes", resident_bytes, "select (count(*) * (5 * 8 + 2 * 4))::bigint + (select sum(octet_length(encode(v)) + 32) from (select distinct event_type as v from events union all select distinct props from events))::bigint as bytes from events")
+    add("load_parquet", lambda spark, d: shown(load(f"{d}/events.parquet", spark=spark).filter(event_type="click").group_by("user_id").sum("value")), sql_select("events where event_type = 'click'", Agg.SUM, "value", "user_id"))
+    add("load_log", load_log, sql_select("events where event_type = 'click'", Agg.SUM, "value", "event_type"))
+    add("ingest_report", ingest_report, "select count(*) as n, count(*) * (2 * 8 + 8 + 4)::bigint + (select sum(octet_length(encode(event_type)) + 32) from (select distinct event_type from events))::bigint as bytes from events")
+    odd = "select event_id, user_id, case when event_id % 5 = 1 then '' else event_type end as event_type, case when event_id % 5 = 1 then 0.0 else value end as value from events where event_id % 5 <> 0"
+    add("text_odd_lines", text_odd_lines, odd)
+    add("text_repeated_header", text_repeated_header, "select sum(n)::bigint as n, sum(zeros)::bigint as zeros from (select count(*) as n, 0 as zeros from events union all select 2, 2)")
+    whole = "case event_id % 6 when 0 then user_id when 3 then -user_id when 5 then user_id else 0 end"
+    real = "case event_id % 6 when 0 then '1000' when 1 then '0.5' when 2 then '5' when 3 then 'nan' when 4 then 'inf' else '1' end"
+    add("text_number_prefixes", text_number_prefixes, f"select event_id, {whole} as whole, {real} as real from events")
+    folded = "(select coalesce(nullif(event_type, 'view'), '') as event_type, case when user_id < 20 then 0 else user_id end as user_id, case when value < 10 then 0.0 else value end as value from events)"
+    for op in ("==", "!="):
+        sign = "<>" if op == "!=" else "="
+        add(f"nulls_{'ne' if op == '!=' else 'eq'}", lambda spark, d, op=op: shown(with_nulls(spark, d).where("event_type", op, "click").where("user_id", "<", 100).group_by("event_type").sum("value")), sql_select(f"{folded} where event_type {sign} 'click' and user_id < 100", Agg.SUM, "value", "event_type"))
+    add("nulls_min", lambda spark, d: shown(with_nulls(spark, d).group_by("user_id").min("value")), sql_select(folded, Agg.MIN, "value", "user_id"))
+    add("stream_insert", lambda spark, d: inserted(spark, d, 2500, 256), "select count(*) as visible, 0::bigint as pending, ceil(count(*) / 2500)::bigint as batches, count(*) filter (event_type = 'click') as clicks from events")
+    add("stream_backpressure", lambda spark, d: inserted(spark, d, 1000, 1), "select count(*) as visible, 0::bigint as pending, ceil(count(*) / 1000)::bigint as batches, count(*) filter (event_type = 'click') as clicks from events")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(table_of(spark, sf_dir, "lineitem").filter(l_linenumber=1).group_by("l_returnflag").sum("l_extendedprice").sort_by_value_desc())
@@ -158,8 +192,7 @@ EVENT_TEXT = {"event_id": "int64", "user_id": "int64", "event_type": "dict", "va
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-")
-    return f"{root}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def events_as_text(spark: SparkSession, sf_dir: str) -> str:
@@ -193,5 +226,114 @@ def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(table.snapshot().group_by("event_type").sum("value"))
 
 
+def ordered_groups_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of one user's events, in the order in which their categories first appear in the whole table."""
+    rows = table_of(spark, sf_dir, "events").filter(user_id=3).group_by("event_type").agg(Agg.COUNT, ordered=True)
+    pairs = enumerate(zip(rows.keys, rows.counts.tolist(), strict=True))
+    return spark.createDataFrame([(i, key, n) for i, (key, n) in pairs], "place bigint, key string, n bigint")
+
+
+EXPORTS: dict[str, Callable[[SparkSession, Result], DataFrame]] = {
+    "dict": lambda spark, r: spark.createDataFrame(list(zip(*(list(map(lambda v: getattr(v, "item", lambda: v)(), c)) for c in r.to_dict().values()), strict=True)), list(r.to_dict())),
+    "pandas": lambda spark, r: spark.createDataFrame(r.to_pandas()),
+    "arrow": lambda spark, r: spark.createDataFrame(r.to_arrow()),
+    "views": lambda spark, r: r.named,
+}
+
+
+def exported(spark: SparkSession, sf_dir: str, export: Callable[[SparkSession, Result], DataFrame]) -> DataFrame:
+    frame = export(spark, table_of(spark, sf_dir, "events").group_by("event_type").sum("value"))
+    return frame.withColumn("sum_value", F.round("sum_value", 2) + F.lit(0.0))
+
+
+def export_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's groups, without its first line and the last one, which has times."""
+    lines = table_of(spark, sf_dir, "lineitem").group_by("l_returnflag").sum("l_quantity").to_string().splitlines()
+    return spark.createDataFrame([(line,) for line in lines[1:-1]], "line string")
+
+
+def head_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = table_of(spark, sf_dir, "events")
+    lines = Table(table.df.select("event_id", "user_id", "event_type", "value"), row="event_id").head(5).splitlines()
+    return spark.createDataFrame([(line,) for line in lines[1:]], "line string")
+
+
+def resident_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = table_of(spark, sf_dir, "events").raw.withColumn("ts_us", F.col("ts_s"))
+    return spark.createDataFrame([(round(Table(table, row="event_id").resident_mb * 1e6),)], "bytes bigint")
+
+
+def load_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log with the 22 columns that load() assumes."""
+    path = scratch(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    given = {"timestamp": F.unix_seconds(F.col("ts").cast("timestamp")), "uid": F.col("user_id"), "campaign": F.col("event_type"), "click": (F.col("event_type") == "click").cast("int"), "cost": F.col("value")}
+    rest = {INT64: F.lit(-1), FLOAT64: F.lit(-1.0), DICT: F.lit("0")}
+    log = events.select(*(given.get(name, rest[kind]).alias(name) for name, kind in ATTRIBUTION.items()))
+    log.write.option("sep", "\t").option("header", True).csv(path)
+    return shown(load(path, spark=spark).filter(click=1).group_by("campaign").sum("cost"))
+
+
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = events_as_text(spark, sf_dir)
+    found = report(Table(read_delimited(spark, path, "\t", EVENT_TEXT)), path)
+    return spark.createDataFrame([(found.rows, round(found.resident_mb * 1e6))], "n bigint, bytes bigint")
+
+
+def text_of(spark: SparkSession, lines: DataFrame) -> str:
+    path = scratch(spark)
+    lines.write.text(path)
+    return path
+
+
+def text_odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No header; every fifth line is blank, one is short, one has fields too many and one ends with a carriage return."""
+    events, kind = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 5
+    fields = [F.col(c).cast("string") for c in EVENT_TEXT]
+    whole = F.concat_ws("\t", *fields)
+    line = F.when(kind == 0, "").when(kind == 1, F.concat_ws("\t", *fields[:2])).when(kind == 2, F.concat(whole, F.lit("\t1\t2"))).when(kind == 3, F.concat(whole, F.lit("\r"))).otherwise(whole)
+    return read_delimited(spark, text_of(spark, events.select(line.alias("value"))), "\t", EVENT_TEXT, has_header=False).drop(ROW)
+
+
+def text_repeated_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file whose header stands three times: once as the header, and twice as rows of defaults."""
+    path = scratch(spark)
+    header = spark.createDataFrame([("\t".join(EVENT_TEXT),)] * 3, "value string").coalesce(1)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat_ws("\t", *(F.col(c).cast("string") for c in EVENT_TEXT)).alias("value"))
+    header.unionByName(events).coalesce(1).write.text(path)
+    rows = read_delimited(spark, path, "\t", EVENT_TEXT)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("event_type") == "event_type") & (F.col("value") == 0)).alias("zeros"))
+
+
+def text_number_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers are read from a field's longest valid beginning."""
+    events, kind, user = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 6, F.col("user_id").cast("string")
+    whole = F.when(kind == 0, F.concat(user, F.lit("abc"))).when(kind == 1, F.concat(F.lit("+"), user)).when(kind == 2, F.concat(F.lit(" "), user))
+    whole = whole.when(kind == 3, F.concat(F.lit("-"), user)).when(kind == 4, F.lit("x1")).otherwise(F.concat(user, F.lit(".9")))
+    real = F.when(kind == 0, "1e3").when(kind == 1, ".5z").when(kind == 2, "5.").when(kind == 3, "nan").when(kind == 4, "Inf").otherwise("1e")
+    path = text_of(spark, events.select(F.concat_ws("\t", F.col("event_id").cast("string"), whole, real).alias("value")))
+    rows = read_delimited(spark, path, "\t", {"event_id": "int", "whole": "int", "real": "float"}, has_header=False)
+    text = F.when(F.isnan("real"), "nan").when(F.col("real") == float("inf"), "inf").when(F.col("real") == F.floor("real"), F.col("real").cast("bigint").cast("string")).otherwise(F.col("real").cast("string"))
+    return rows.select("event_id", "whole", text.alias("real"))
+
+
+def with_nulls(spark: SparkSession, sf_dir: str) -> Table:
+    """Events without some of their values; a missing one is 0, 0.0 or "" to every operator."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return Table(events.select(F.nullif("event_type", F.lit("view")).alias("event_type"), F.when(F.col("user_id") >= 20, F.col("user_id")).alias("user_id"), F.when(F.col("value") >= 10, F.col("value")).alias("value")))
+
+
+def inserted(spark: SparkSession, sf_dir: str, threshold: int, capacity: int) -> DataFrame:
+    """All events, inserted line by line; what is visible once all are flushed."""
+    columns = F.concat_ws("\t", *(F.col(c).cast("string") for c in EVENT_TEXT))
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select(columns.alias("value")).toLocalIterator()
+    with StreamingTable(EVENT_TEXT, threshold, queue_capacity=capacity, spark=spark) as table:
+        table.insert_all(r["value"] for r in lines)
+        table.flush_sync()
+        clicks = table.query(lambda t: int(t.filter(event_type="click").count().values[0]))
+        found = (table.visible_rows, table.pending_rows, table.batches_flushed, clicks)
+    return spark.createDataFrame([found], "visible bigint, pending bigint, batches bigint, clicks bigint")
+
+
 _fill()
 __all__ = ["QUERIES", "ROW", "SQL"]
