@@ -1,26 +1,29 @@
 """SentencePiece BPE models: encoding and decoding by vectorised merge rounds.
 
 Encoding works on the flat array of all symbols of a batch. No piece has a blank after another character, so merging
-never crosses the beginning of a run of blanks, and the text falls apart into units that are encoded on their own, equal
-units once. In each round the best-ranked pair of each unit is found by a segmented minimum, all its occurrences from the
+never crosses the beginning of a run of blanks, and the text falls apart into units that are encoded on their own; equal
+units, as their bytes tell, are encoded once as long as they are remembered. In each round the best-ranked pair of each unit is found by a segmented minimum, all its occurrences from the
 left are merged at once, and the arrays are compacted; units without a pair left drop out. Where merging could give rise
 to a pair that ranks as high or higher, only the leftmost occurrence is merged in that round, as one after the other
 would do. Characters that no piece covers become byte pieces.
 
 Nulls and empty texts have no ids. Invalid UTF-8 is read as U+FFFD. A text is never cut: units are as long as they are.
+Repeated rows are encoded each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flattext import BYTES, Hasher, slices, spread, take_stretches, text_bytes
+from .flattext import Numbers, Stretches, slices, spread, take_stretches, text_bytes, windows
+from .shared import in_worker, small_batches
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -118,7 +121,7 @@ class Encoder:
         single = [(ord(p), i) for p, i in names.items() if len(p) == 1]
         self.chars = np.full(0x110000, -1, np.int32)
         self.chars[[c for c, _ in single]] = [i for _, i in single]
-        self.hasher, self.known = Hasher(BYTES), Known()
+        self.known = Known(self.units)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of each pair; NONE where they don't merge."""
@@ -215,46 +218,39 @@ class Encoder:
         first[places[:-1][np.diff(places) > 0]] = True
         starts = np.flatnonzero(first)
         ends = np.r_[starts[1:], len(buf)]
-        hashes, index, codes = np.unique(self.hasher(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known.hashes) > self.known.limit:
-            self.known.clear()
-        at = self.known.find(hashes)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            sizes = (ends - starts)[index[new]]
-            self.known.add(hashes[new], *self.units(take_stretches(buf, starts[index[new]], sizes), sizes))
-            at = self.known.find(hashes)
-        at = at[codes]
-        counts = self.known.counts[at]
-        out = take_stretches(self.known.ids, self.known.starts[at], counts)
-        total = np.r_[0, np.cumsum(counts)]
-        return out, total[np.searchsorted(starts, places)]
+        out, counts = self.known.ids(buf, starts, ends)
+        return out, np.r_[0, np.cumsum(counts)][np.searchsorted(starts, places)]
 
 
 class Known:
-    """Units that were encoded before, by hash. The encoder empties it when it has outgrown its limit; that costs time only."""
-
-    def __init__(self, limit: int = 2_000_000) -> None:
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places, -1 for what isn't known."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """hashes ascend and are new."""
-        starts = np.cumsum(counts) - counts + len(self.ids)
-        self.ids = np.concatenate([self.ids, ids])
-        to = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.starts, self.counts = np.insert(self.hashes, to, hashes), np.insert(self.starts, to, starts), np.insert(self.counts, to, counts)
+    """Ids of stretches that were encoded before. encode: ids of stretches one after another, from their bytes and sizes,
+    and their numbers of ids. What is held is bounded; when it is full, it begins anew, which costs time only."""
+
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> None:
+        self.encode, self.units = encode, Stretches()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.units.clear()
+        self.starts, self.counts, self.flat = Numbers(np.int64), Numbers(np.int64), Numbers(np.int32)
+
+    def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the stretches one after another, and their numbers of ids; a window at a time. starts and ends ascend."""
+        counts, out = np.zeros(len(starts), np.int64), Numbers(np.int32)
+        for w in windows(starts, ends):
+            if self.units.full or self.flat.n > 4 * self.units.limit:
+                self._clear()
+            a, b = starts[w], ends[w]
+            numbers, fresh = self.units.numbers(buf, a, b)
+            if len(fresh):
+                sizes = b[fresh] - a[fresh]
+                ids, own = self.encode(take_stretches(buf, a[fresh], sizes), sizes)
+                self.starts.add(self.flat.n + np.cumsum(own) - own)
+                self.counts.add(own)
+                self.flat.add(ids)
+            counts[w] = self.counts.all[numbers]
+            out.add(take_stretches(self.flat.all, self.starts.all[numbers], counts[w]))
+        return out.all, counts
 
 
 def prepared(column: pa.Array, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -318,51 +314,50 @@ class Decoder:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.large_string()).cast(pa.string())
 
 
-def _free(df: DataFrame, *names: str) -> None:
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"the input already has {', '.join(sorted(clash))}")
+def coders(path: str) -> tuple[Encoder, Decoder]:
+    model = Model.read(path)
+    return Encoder(model), Decoder(model)
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """df with an array<int> column ids, without begin or end ids, and, if a name is given, the text that the ids decode
-    to. model_path: a file that all executors have. keep: the columns of df to return, all by default. A row in gives a
-    row out, in one pass without a shuffle. An output name that is also kept raises ValueError."""
+    to. model_path: a file that all executors have. keep: the columns of df to return, all by default; one that has an
+    output's name is replaced. A row in gives a row out, in one pass without a shuffle."""
     new = [ids] + ([decoded] if decoded else [])
-    kept = list(df.columns if keep is None else keep)
-    df = df.select(*dict.fromkeys([*kept, text]))
-    _free(df.select(*kept), *new)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    small_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.read(model_path)
-        encoder, decoder = Encoder(model), Decoder(model)
+        encoder, decoder = in_worker(("pieces", model_path), lambda: coders(model_path))
         for batch in batches:
-            for own in slices(batch, text):
-                flat, places = encoder.texts(own.column(text))
-                columns = [*(own.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat, pa.int32()))]
+            for own in slices(batch, 0):
+                flat, places = encoder.texts(own.column(0))
+                columns = [*own.columns[1:], pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat, pa.int32()))]
                 if decoded:
                     columns.append(decoder.texts(flat, places))
-                yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.select(F.col(f"`{text}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df with the text of its ids; null ids give null. An id outside the model fails."""
-    _free(df, text)
-    schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
+    """df with the text of its ids; null ids give null. An id outside the model fails. A column of df that has the output's
+    name is replaced."""
+    kept = [c for c in df.columns if c != text]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Model.read(model_path))
+        _, decoder = in_worker(("pieces", model_path), lambda: coders(model_path))
         for batch in batches:
-            column = batch.column(ids)
+            column = batch.column(0)
             sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
             texts = decoder.texts(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(sizes)])
             if column.null_count:
                 texts = pa.compute.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.select(F.col(f"`{ids}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)
 
 
 __all__ = ["Decoder", "Encoder", "Model", "decode", "encode", "spread"]

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
+import sys
 import time
+import types
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[tempfile.TemporaryDirectory] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of this process only where that isn't set, as in tests."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not _own:
-        _own.append(tempfile.TemporaryDirectory(prefix="llm-"))
-        atexit.register(_own[0].cleanup)
-    return _own[0].name
+from ..folders import shared_folder
 
+T = TypeVar("T")
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -52,6 +45,27 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to a Python worker at once by bytes, besides rows: otherwise 10,000 long texts would be one batch.
+    A lower bound that the session has stays."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def in_worker(key: tuple, make: Callable[[], T]) -> T:
+    """An object that a Python worker keeps from task to task, such as a vocabulary's tables: one at a time, the last one
+    asked for. The module that holds it is the process's own, as functions come to it by value."""
+    state = sys.modules.setdefault("_tallyspark_worker", types.ModuleType("_tallyspark_worker"))
+    if getattr(state, "key", None) != key:
+        state.key = state.held = None  # the old one goes before the new one is made
+        state.held = make()
+        state.key = key
+    return state.held
+
+
 def parts(spark: SparkSession) -> int:
     """Into how many parts to deal: as many as the session's shuffles have, which grows with the cluster's input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
