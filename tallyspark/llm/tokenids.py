@@ -1,20 +1,22 @@
 """Token ids in binary shards under a Re-Pair grammar.
 
-Texts are encoded with a byte-level BPE file of the tokenizers library. Such a vocabulary never merges across a blank that
-stands before a character that is no white space, so texts are cut there and equal stretches are encoded once, by the
-library. Each document's ids end with an end id. Documents are dealt out by ranges of doc_id; each task writes its ids in
-ascending order as shards.
+Texts are encoded with a byte-level BPE file of the tokenizers library, whose pattern parts a text where letters end and
+before a blank that stands before a character that is no white space. Texts are cut there and equal stretches are encoded
+once, by the library: those that are letters after a blank at most are one word of the pattern and skip its expression,
+others go through all of it. Each document's ids end with an end id. Documents are dealt out by ranges of doc_id; each
+task writes its ids in ascending order as shards.
 
 In a shard, the most frequent neighbouring pairs of ids are replaced by new symbols, again and again, until none is
 frequent. The file holds the rules, the length that each rule expands to, the symbols, the ids before every 4096th symbol,
 and the documents with their numbers of ids; any stretch of ids can be decoded from those without the rest.
 
-Null is the empty text. Repeated doc_ids keep all their rows, in no fixed order among themselves; rows with a null doc_id
-come first. No document is split between shards.
+Null is the empty text. Repeated doc_ids keep all their rows, in the order in which the input is read; rows with a null
+doc_id come first. No document is split between shards. An empty table gives no shards.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -26,15 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .flattext import BYTES, Hasher, mix, slices, take_stretches, text_bytes
+from .flattext import mix, slices, spread, take_stretches, text_bytes
 from .sentencepieces import Known
-from .shared import parts, written
+from .shared import in_worker, parts, small_batches, written
 from .stores import read_file, write_file
 
-MAGIC, EVERY, BLOCK = b"RPIDS\x01\0\0", 4096, 1 << 16
+MAGIC, EVERY, BLOCK = b"RPIDS\x01\0\0", 4096, 4096
 # Bytes after a blank at which the text is not cut, as they are or begin white space.
 UNSURE = np.zeros(256, bool)
 UNSURE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+# Second bytes of the letters of Latin-1 after 0xC3; the signs for times and divided by are none.
+LATIN = np.zeros(256, bool)
+LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+# What surely ends a run of letters: printable ASCII that is no letter, and line ends.
+SURE_END = np.zeros(256, bool)
+SURE_END[[b for b in range(33, 127) if not LETTER[b]] + [10]] = True
+# How a byte-level vocabulary shows a byte as a character: printable ones as they are, others from 256 on.
+SHOWN = np.arange(256, dtype="<u2")
+_hidden = [*range(33), *range(127, 161), 173]
+SHOWN[_hidden] = 256 + np.arange(len(_hidden))
 
 
 @dataclass(frozen=True)
@@ -45,36 +59,59 @@ class Rule:
     shard_ids: int = 1 << 20
     least: int = 32
     share: int = 4096
-    rounds: int = 16
-    rules: int = 512
+    rounds: int = 8
+    rules: int = 1024
     end_id: int = 0
 
 
 class TextCoder:
     def __init__(self, path: str) -> None:
+        """Files without the byte-level pattern, or with a normalizer or added tokens of letters, raise ValueError."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.hasher, self.known = Tokenizer.from_file(path), Hasher(BYTES), Known()
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        form = data.get("pre_tokenizer") or {}
+        plain = form.get("type") == "ByteLevel" and not form.get("add_prefix_space", True) and form.get("use_regex", True) and not data.get("normalizer")
+        self.added = [t["content"].encode() for t in data.get("added_tokens", [])]
+        if not plain or any(t["content"].isalpha() for t in data.get("added_tokens", [])):
+            raise ValueError("only byte-level vocabularies without a normalizer are supported")
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(data | {"pre_tokenizer": None, "post_processor": None}))
+        self.known = Known(self.encode)
         # a byte is a character of a token
         self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
 
-    def units(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        coded = self.library.encode_batch_fast([r.decode("utf-8", "replace") for r in raw], add_special_tokens=False)
-        ids = [c.ids for c in coded]
-        return np.array([i for own in ids for i in own], np.int32), np.array([len(own) for own in ids], np.int64)
-
-    def joined(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """The same for stretches that begin at a cut: encoded as one text a block, and told apart by the bytes of each id.
-        None if those do not add up to the stretches."""
+    def encode(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of stretches by the library, and their numbers of ids."""
         ends = np.cumsum(sizes)
-        marks = np.unique(np.r_[0, np.searchsorted(ends, np.arange(BLOCK, len(raw), BLOCK)), len(sizes)])
-        at = np.r_[0, ends][marks]
-        coded = self.library.encode_batch_fast([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)
+        heads = ends - sizes
+        others = np.r_[0, np.cumsum(~letters(raw))]
+        word = (others[ends] - others[heads] == (raw[heads] == 32)) & (raw[ends - 1] != 32)
+        some, rest = np.flatnonzero(word), np.flatnonzero(~word)
+        found = self.joined(raw, heads[some], ends[some]) if len(some) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if found is None:
+            some, rest, found = some[:0], np.arange(len(sizes)), (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        coded = self.library.encode_batch_fast([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(heads[rest], ends[rest], strict=True)], add_special_tokens=False)
+        own = [np.array(c.ids, np.int32) for c in coded]
+        counts = np.zeros(len(sizes), np.int64)
+        counts[some], counts[rest] = found[1], [len(x) for x in own]
+        out, at = np.zeros(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+        out[spread(at[some], counts[some])] = found[0]
+        if own:
+            out[spread(at[rest], counts[rest])] = np.concatenate(own)
+        return out, counts
+
+    def joined(self, raw: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for stretches that are one word of the pattern, given to the library as words and told apart by the
+        bytes of each id. None if those do not add up to the stretches."""
+        shown = SHOWN[raw].tobytes().decode("utf-16-le")
+        words = [shown[a:b] for a, b in zip(heads.tolist(), ends.tolist(), strict=True)]
+        coded = self.words.encode_batch_fast([words[i : i + BLOCK] for i in range(0, len(words), BLOCK)], is_pretokenized=True, add_special_tokens=False)
         ids = np.concatenate([np.array(c.ids, np.int32) for c in coded])
-        reached = np.cumsum(self.widths[ids])
-        last = np.searchsorted(reached, ends)
-        if last[-1] != len(ids) - 1 or not np.array_equal(reached[last], ends):
+        reached, until = np.cumsum(self.widths[ids]), np.cumsum(ends - heads)
+        last = np.searchsorted(reached, until)
+        if last[-1] != len(ids) - 1 or not np.array_equal(reached[last], until):
             return None
         return ids, np.diff(np.r_[-1, last])
 
@@ -85,85 +122,83 @@ class TextCoder:
             return np.zeros(0, np.int32), np.zeros(len(places), np.int64)
         first = np.zeros(len(buf), bool)
         first[:-1] = (buf[:-1] == 32) & ~UNSURE[buf[1:]]
-        first[places[1:-1][places[1:-1] > 0] - 1] = False  # the text's last byte
+        first[1:] |= letters(buf)[:-1] & SURE_END[buf[1:]]
+        first[places[1:-1][places[1:-1] > 0] - 1] &= buf[places[1:-1][places[1:-1] > 0] - 1] != 32  # a text's last blank
+        raw = buf.tobytes() if self.added else b""
+        for token in self.added:  # they are found before the pattern is applied
+            at = raw.find(token)
+            while at >= 0:
+                first[at + 1 : at + len(token)] = False
+                at = raw.find(token, at + len(token))
         first[places[:-1][np.diff(places) > 0]] = True
         starts = np.flatnonzero(first)
         ends = np.r_[starts[1:], len(buf)]
-        codes_of = self.hasher(buf, starts, ends)
-        hashes, index, codes = np.unique(codes_of, return_index=True, return_inverse=True)
-        if len(self.known.hashes) > self.known.limit:
-            self.known.clear()
-        at = self.known.find(hashes)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            own = index[new]
-            cut = (buf[starts[own]] == 32) & ~UNSURE[buf[np.minimum(starts[own] + 1, len(buf) - 1)]] & (ends[own] > starts[own] + 1)
-            for some, together in ((own[cut], True), (own[~cut], False)):
-                if len(some):
-                    sizes = ends[some] - starts[some]
-                    raw = take_stretches(buf, starts[some], sizes)
-                    found = self.joined(raw, sizes) if together else None
-                    at = np.r_[0, np.cumsum(sizes)]
-                    self.known.add(codes_of[some], *(found or self.units([raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])))
-            at = self.known.find(hashes)
-        at = at[codes]
-        counts = self.known.counts[at]
-        ids = take_stretches(self.known.ids, self.known.starts[at], counts)
+        ids, counts = self.known.ids(buf, starts, ends)
         return ids, np.r_[0, np.cumsum(counts)][np.searchsorted(starts, places)]
 
 
-def _frequent(seq: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of pairs to be replaced together, most frequent first: no symbol is both the end of one and the beginning of
-    another, so that their occurrences can't overlap."""
+def letters(buf: np.ndarray) -> np.ndarray:
+    """Which bytes are, or end or begin, a letter of ASCII or Latin-1; other letters are not looked for."""
+    out = LETTER[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[LATIN[buf[lead + 1]]]
+    out[lead] = out[lead + 1] = True
+    return out
+
+
+def _frequent(seq: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Pairs to be replaced together, most frequent first: no symbol is both the end of one and the beginning of another,
+    so that their occurrences can't overlap. Both symbols of a frequent pair are frequent, so others needn't be counted."""
     least = max(rule.least, len(seq) // rule.share)
-    keys = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-    slots = (mix(keys.astype(np.uint64)) >> np.uint64(44)).astype(np.int32)
-    likely = keys[np.bincount(slots, minlength=1 << 20)[slots] >= least]
-    if not len(likely):
-        return likely
-    likely.sort()
-    cuts = np.flatnonzero(np.r_[True, likely[1:] != likely[:-1], True])
-    pairs, counts = likely[cuts[:-1]], np.diff(cuts)
+    often = np.flatnonzero(np.bincount(seq) >= least)
+    rank = np.full(int(seq.max()) + 1, -1, np.int32 if len(often) < 1 << 15 else np.int64)
+    rank[often] = np.arange(len(often))
+    own = rank[seq]
+    codes = own[:-1] * rank.dtype.type(len(often)) + own[1:]
+    codes = codes[(own[:-1] >= 0) & (own[1:] >= 0)]
+    codes.sort()
+    cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True]) if len(codes) else np.zeros(1, np.int64)
+    pairs, counts = codes[cuts[:-1]].astype(np.int64), np.diff(cuts)
     order = np.argsort(-counts, kind="stable")
     order = order[counts[order] >= least][: 4 * rule.rules]
     begins: set[int] = set()
     ends: set[int] = set()
     chosen = []
-    for key in pairs[order].tolist():
-        a, b = key >> 32, key & 0xFFFFFFFF
+    for a, b in zip(often[pairs[order] // max(len(often), 1)].tolist(), often[pairs[order] % max(len(often), 1)].tolist(), strict=True):
         if len(chosen) < rule.rules and a not in ends and b not in begins and (a != b or a not in begins):
-            chosen.append(key)
+            chosen.append((a, b))
             begins.add(a)
             ends.add(b)
-    return np.array(chosen, np.int64)
+    return chosen
 
 
 def compress(ids: np.ndarray, first_symbol: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k is the pair that symbol first_symbol + k stands for."""
-    seq, rules = ids.astype(np.int64), []
+    seq, rules = ids.astype(np.int32), []
     for _ in range(rule.rounds):
-        chosen = _frequent(seq, rule) if len(seq) > 1 else np.zeros(0, np.int64)
-        if not len(chosen):
+        chosen = _frequent(seq, rule) if len(seq) > 1 else []
+        if not chosen:
             break
-        order = np.argsort(chosen)
-        begins, ends = np.zeros(first_symbol + len(rules), bool), np.zeros(first_symbol + len(rules), bool)
-        begins[chosen >> 32], ends[chosen & 0xFFFFFFFF] = True, True
-        at = np.flatnonzero(begins[seq[:-1]] & ends[seq[1:]])
-        keys = (seq[at] << 32) | seq[at + 1]
-        found = np.minimum(np.searchsorted(chosen[order], keys), len(chosen) - 1)
-        same = chosen[order][found] == keys
-        at, found = at[same], found[same]
+        heads, tails = (list(dict.fromkeys(side)) for side in zip(*chosen, strict=True))
+        row, column = np.full(first_symbol + len(rules), -1, np.int16), np.full(first_symbol + len(rules), -1, np.int16)
+        row[heads], column[tails] = np.arange(len(heads)), np.arange(len(tails))
+        table = np.full((len(heads), len(tails)), -1, np.int32)
+        pairs = np.array(chosen)
+        table[row[pairs[:, 0]], column[pairs[:, 1]]] = np.arange(len(chosen))
+        left, right = row[seq[:-1]], column[seq[1:]]
+        at = np.flatnonzero((left >= 0) & (right >= 0))
+        found = table[left[at], right[at]]
+        at, found = at[found >= 0], found[found >= 0]
         # occurrences overlap only in runs of one symbol: every second goes
         run = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
         even = ((at - np.repeat(at[run], np.diff(np.r_[run, len(at)]))) & 1) == 0
         at, found = at[even], found[even]
-        seq[at] = first_symbol + len(rules) + order[found]
+        seq[at] = first_symbol + len(rules) + found
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules += chosen.tolist()
-    pairs = np.array(rules, np.int64)
-    return seq.astype(np.uint32), np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1).astype(np.uint32).reshape(-1, 2)
+        rules += chosen
+    return seq.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def lengths_of(rules: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -175,7 +210,8 @@ def lengths_of(rules: np.ndarray, first_symbol: int) -> np.ndarray:
 
 @dataclass
 class Shard:
-    docs: np.ndarray  # doc_id; the least value for null
+    docs: np.ndarray
+    nulls: np.ndarray  # which documents have no id
     counts: np.ndarray
     symbols: np.ndarray = field(repr=False)
     rules: np.ndarray = field(repr=False)
@@ -184,10 +220,10 @@ class Shard:
     first_symbol: int = 0
 
     @classmethod
-    def build(cls, docs: np.ndarray, counts: np.ndarray, ids: np.ndarray, first_symbol: int, rule: Rule) -> Shard:
+    def build(cls, docs: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray, first_symbol: int, rule: Rule) -> Shard:
         symbols, rules = compress(ids, first_symbol, rule)
         expands = lengths_of(rules, first_symbol)
-        out = cls(docs, counts, symbols, rules, expands, np.zeros(0, np.int64), first_symbol)
+        out = cls(docs, nulls, counts, symbols, rules, expands, np.zeros(0, np.int64), first_symbol)
         out.marks = np.r_[0, np.cumsum(out.widths(symbols))][:-1][::EVERY] if len(symbols) else out.marks
         return out
 
@@ -200,7 +236,7 @@ class Shard:
     def dumps(self) -> bytes:
         wide = "<u2" if self.first_symbol + len(self.rules) <= 1 << 16 else "<u4"
         head = struct.pack("<8sIIQQQQ", MAGIC, self.first_symbol, int(wide[-1]), len(self.docs), len(self.rules), len(self.symbols), len(self.marks))
-        arrays = (self.docs.astype("<i8"), self.counts.astype("<i8"), self.marks.astype("<i8"), self.rules.astype("<u4"), self.expands.astype("<u4"), self.symbols.astype(wide))
+        arrays = (self.docs.astype("<i8"), self.nulls.astype("<u1"), self.counts.astype("<i8"), self.marks.astype("<i8"), self.rules.astype("<u4"), self.expands.astype("<u4"), self.symbols.astype(wide))
         return b"".join((head, *(a.tobytes() for a in arrays)))
 
     @classmethod
@@ -210,11 +246,11 @@ class Shard:
             raise ValueError("not a shard of token ids")
         at = struct.calcsize("<8sIIQQQQ")
         out = []
-        for kind, n in (("<i8", docs), ("<i8", docs), ("<i8", marks), ("<u4", 2 * rules), ("<u4", rules), (f"<u{width}", symbols)):
+        for kind, n in (("<i8", docs), ("<u1", docs), ("<i8", docs), ("<i8", marks), ("<u4", 2 * rules), ("<u4", rules), (f"<u{width}", symbols)):
             out.append(np.frombuffer(data, kind, n, at))
             at += out[-1].nbytes
-        d, c, m, r, e, s = out
-        return cls(d, c, s, r.reshape(-1, 2), e.astype(np.int64), m, first)
+        d, z, c, m, r, e, s = out
+        return cls(d, z.astype(bool), c, s, r.reshape(-1, 2), e.astype(np.int64), m, first)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """Rules are undone from the last to the first used, all places of a generation at once."""
@@ -240,21 +276,20 @@ class Shard:
         return self.expand(own)[start - self.marks[k] : stop - self.marks[k]]
 
 
-NULL_ID = np.iinfo(np.int64).min
-
-
 def write(docs: DataFrame, tokenizer: str, path: str, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """docs: doc_id long, text. Writes shards below path, and returns their list as a written table: (part, seq, file,
     n_docs, n_ids, start), start being the ids of all shards before. Only files that the list names count; a task that ran
     twice leaves a file that nothing names."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, seq = TextCoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder = in_worker(("ids", tokenizer), lambda: TextCoder(tokenizer))
+        part, seq = TaskContext.get().partitionId(), 0
         first = coder.library.get_vocab_size()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal seq
@@ -262,27 +297,29 @@ def write(docs: DataFrame, tokenizer: str, path: str, rule: Rule = Rule()) -> Da
             shard = Shard.build(*own, first, rule)
             file = f"{path}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.ids"
             write_file(file, shard.dumps())
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [file], "n_docs": [len(own[0])], "n_ids": [len(own[2])]})
+            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [file], "n_docs": [len(own[0])], "n_ids": [len(own[3])]})
             held.clear()
             seq += 1
             return out
 
         for batch in batches:
-            for own in slices(batch, "text", 4 << 20):
+            for own in slices(batch, "text"):
                 ids, places = coder.texts(own.column("text"))
                 n = np.arange(own.num_rows)
                 full = np.full(len(ids) + own.num_rows, rule.end_id, np.uint32)
                 full[np.arange(len(ids)) + np.repeat(n, np.diff(places))] = ids
-                docs_of = own.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                held.append((docs_of, np.diff(places) + 1, full))
-                if sum(len(h[2]) for h in held) >= rule.shard_ids:
+                docs_of, nulls = own.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), own.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                held.append((docs_of, nulls, np.diff(places) + 1, full))
+                if sum(len(h[3]) for h in held) >= rule.shard_ids:
                     yield flush()
         if held:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id")
-    listed = written(ranged.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long"), "shards")
+    # rows of one id are told apart by their place, so that many of them are several tasks
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(parts(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place")
+    listed = written(ranged.select("doc_id", "text").mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long"), "shards")
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
     before = listed.groupBy("part").agg(F.sum("n_ids").alias("t")).select("part", F.coalesce(F.sum("t").over(across), F.lit(0)).alias("before"))
@@ -300,7 +337,7 @@ def read(shards: DataFrame) -> DataFrame:
                 raw = shard.ids().astype("<u4").tobytes()
                 ends = np.cumsum(shard.counts)
                 data = [raw[4 * a : 4 * b] for a, b in zip(ends - shard.counts, ends, strict=True)]
-                names = pa.array(shard.docs, mask=shard.docs == NULL_ID)
+                names = pa.array(shard.docs, mask=shard.nulls)
                 yield pa.RecordBatch.from_arrays([names, pa.array(ends - shard.counts + start), pa.array(shard.counts), pa.array(data, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     spread = shards.select("file", "start").repartition(parts(shards.sparkSession))
