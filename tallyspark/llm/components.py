@@ -35,13 +35,12 @@ def _settled(links: DataFrame) -> bool:
     return not links.select("v").distinct().join(ends.select(F.col("u").alias("v")), "v", "left_semi").head(1)
 
 
-def components(links: DataFrame, a: str = "u", b: str = "v", limit: int = 60) -> DataFrame:
-    """(node, component): each node that has a link, with its component's smallest node."""
+def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
+    """(node, component): each node that has a link, with its component's smallest node. Every round ties some node to a
+    smaller one until none is left, so it ends."""
     plain = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").select("u", "v").distinct()
     current = written(plain, "links")
-    for _ in range(limit):
-        if _settled(current):
-            break
+    while not _settled(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         mins = written(_mins(both), "mins")
         large = written(_tied(both.where("v > u"), mins).where("u <> v").distinct(), "links")  # u > v
@@ -50,7 +49,5 @@ def components(links: DataFrame, a: str = "u", b: str = "v", limit: int = 60) ->
         new = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         forget(links.sparkSession, current, mins, large, low)
         current = new
-    else:
-        raise RuntimeError("the components did not settle")
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

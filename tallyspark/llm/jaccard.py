@@ -1,23 +1,27 @@
 """N-gram Jaccard join: documents whose sets of word n-grams have a similarity of at least a threshold, and the components
 they form.
 
-1. One pass gives each text its n-gram set's size and 64-bit name, and a sketch of n-gram frequencies of fixed size over
-   all texts. Equal sets are one class from here on, however many copies there are.
+1. One pass gives each text its n-gram set's size and 64-bit name, and a sketch of n-gram frequencies over all texts, which
+   grows with the input up to a bound. Equal sets are one class from here on, however many copies there are.
 2. A second pass orders each set rare first (by sketch, then hash) and emits its prefix: a pair above the threshold shares
    an n-gram of both prefixes. N-grams that only one class has in its prefix are dropped where they meet; what is left, a
-   few per cent, are the active postings.
+   few per cent, are the active postings. The whole sets of their classes are written once.
 3. Candidates pass length and positional filters on the shared n-gram, are made distinct, and are verified once. Suffix
    filters come first: bitmaps of the sets' parities, a few per cent of the sets' size, bound from below what only one of
    two sets has, so most candidates go before sets are moved; counts over hash ranges bound the overlap.
 4. Components do not need all links within a group. In a first round each shared n-gram pairs one class, its leader, with
-   the others; the components so found are contracted. In the second, every class is held against all classes of each
-   larger component that it shares an n-gram with, in blocks; pairs within a component are never looked at again, and pairs
-   are never rows. No link between different components is lost, and no bound is set on partners.
+   the others; the components so found are contracted. Leader is the class whose prefix is the most frequent: among near
+   copies that is the one with the fewest n-grams of its own, to which most others are linked.
+5. What is left are n-grams that several components share. Each component joins the group of the best leader that it meets,
+   so near copies that did not link stand in one group, not in one each. A class is held against the groups that it shares
+   an n-gram with, in blocks of bounded size: rows are classes in groups, never pairs. Pairs of one component are not
+   looked at again. A block returns the links that join components, at most one fewer than it has classes. No link between
+   different components is lost, and no bound is set on partners.
 
 N-grams and sets are compared by 64-bit hashes: among c different sets, two share a name with a chance of c * c / 2**65.
-Overlaps of pairs are counted on 48 bits of them: sets of a and b n-grams share one falsely with a chance of a * b / 2**48. Null and empty texts, and texts without words, have no n-grams and link with
-nothing; a text with fewer words than n has one n-gram, all its words. Letters A-Z are lower-cased. A null id is no
-document and is left out.
+Overlaps of pairs are counted on 48 bits of them: sets of a and b n-grams share one falsely with a chance of
+a * b / 2**48. Null and empty texts, and texts without words, have no n-grams and link with nothing; a text with fewer
+words than n has one n-gram, all its words. Letters A-Z are lower-cased. A null id is no document and is left out.
 """
 
 from __future__ import annotations
@@ -32,24 +36,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .flattext import Hasher, find_words, mix, slices, text_bytes
-from .shared import forget, parts, release, written
+from .flattext import Hasher, find_words, mix, slices, spread, text_bytes
+from .shared import forget, parts, release, small_batches, written
 
 U = np.uint64
-SKETCH_BITS, CHUNK_BITS = 22, 18
+CHUNK_BITS = 18
 RANGES = 16
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Links: percent * union <= 100 * intersection. frequent: how often the sketch must have counted an n-gram for its
-    postings to be dealt out by class too. broadcast_rows: up to how many classes, or rows that ask for classes (at most 40
-    bytes each), are broadcast; beyond, both sides are dealt out.
-    block_grams, block_rows: the size of the blocks in which classes are held against components."""
+    """Links: percent * union <= 100 * intersection. hot_share: an n-gram that holds more than this part of a task's equal
+    share of all n-grams has its postings dealt out by class too. broadcast_rows: up to how many classes, or rows that ask
+    for classes (at most 60 bytes each), are broadcast; beyond, both sides are dealt out. block_grams, block_rows: the size
+    of the blocks in which classes are held against groups."""
 
     n: int = 5
     percent: int = 75
-    frequent: int = 20_000
+    hot_share: float = 0.01
     broadcast_rows: int = 200_000
     block_grams: int = 500_000
     block_rows: int = 1000
@@ -96,20 +100,45 @@ def longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> U(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(n_parts: int) -> int:
+    """Counters grow with the tasks, and so with the input, from 4 to 16 million."""
+    return min(24, max(22, (n_parts << 15).bit_length() - 1))
 
 
-def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
+def slot(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> U(64 - bits)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """levels: 8 * log2(1 + count) of every counter, a byte each, packed: at most 16 MB. hot: the level from which on an
+    n-gram is dealt out by class. A counter holds all n-grams of its slot, so no hot one is missed."""
+
+    levels: bytes
+    bits: int
+    hot: int
+
+    def read(self) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.levels), np.uint8)
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(8 * np.log2(1.0 + counts), 255).astype(np.uint8)
+
+
+def _survey(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
     """A row per document (chunk null), and the sketch's chunks of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint32)
         names = ["doc_id", "n", "set", "chunk", "counts"]
         for batch in batches:
             for own in slices(batch, "text"):
                 flat, at = shingles(own.column("text"), rule.n)
-                sketch += np.bincount(slot(flat), minlength=len(sketch)).astype(np.uint32)
+                places = slot(flat, bits)
+                places.sort()
+                cuts = np.flatnonzero(np.r_[True, places[1:] != places[:-1], True]) if len(places) else np.zeros(1, np.int64)
+                sketch[places[cuts[:-1]]] += np.diff(cuts).astype(np.uint32)
                 none = [pa.nulls(own.num_rows, pa.int32()), pa.nulls(own.num_rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(np.diff(at)), longs(set_names(flat, at)), *none], names)
         packer = zstandard.ZstdCompressor()
@@ -121,8 +150,8 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, set long, chunk int, counts binary")
 
 
-def _sketch(survey: DataFrame) -> bytes:
-    """The sum over all partitions: 2**22 counters, whatever the input."""
+def _sketch(survey: DataFrame, bits: int, rule: Rule, n_parts: int) -> Sketch:
+    """The sum over all partitions: at most 2**24 counters, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -130,27 +159,30 @@ def _sketch(survey: DataFrame) -> bytes:
         for batch in batches:
             for c, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 part = np.frombuffer(unpacker.decompress(data), np.uint32)
-                sums[c] = np.minimum(sums.get(c, np.uint64(0)) + part.astype(np.uint64), U(2**32 - 1))
-        rows = [(c, zstandard.ZstdCompressor().compress(s.astype(np.uint32).tobytes())) for c, s in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["chunk", "counts"])
+                sums[c] = sums.get(c, U(0)) + part.astype(U)
+        rows = [(c, int(s.sum()), zstandard.ZstdCompressor().compress(level(s).tobytes())) for c, s in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["chunk", "total", "levels"])
 
     chunks = survey.where("chunk is not null").select("chunk", "counts")
-    rows = chunks.repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk").mapInArrow(run, "chunk int, counts binary").collect()
-    sketch = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint32)
+    rows = chunks.repartition(1 << (bits - CHUNK_BITS), "chunk").mapInArrow(run, "chunk int, total long, levels binary").collect()
+    levels = np.zeros((1 << (bits - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
     for r in rows:
-        sketch[r["chunk"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.uint32)
-    return zstandard.ZstdCompressor().compress(sketch.tobytes())
+        levels[r["chunk"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["levels"])), np.uint8)
+    total = sum(r["total"] for r in rows)
+    hot = max(8 * total / (1 << bits), rule.hot_share * total / n_parts, 16)
+    return Sketch(zstandard.ZstdCompressor().compress(levels.tobytes()), bits, int(level(np.array([hot]))[0]))
 
 
-ENTRY = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<i4"), ("pos", "<i4")])
+# rank: how rare the prefix is; the least rare class of an n-gram leads
+ENTRY = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<i4"), ("pos", "<i4"), ("rank", "<u1")])
 
 
-def _prefixes(docs: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataFrame:
-    """(part, entries): prefix postings packed by part. All postings of an n-gram meet in one part, unless it is frequent:
-    then they are dealt out by class."""
+def _prefixes(docs: DataFrame, sketch: Sketch, rule: Rule, n_parts: int) -> DataFrame:
+    """(part, entries): prefix postings packed by part. All postings of an n-gram meet in one part, unless it is hot: then
+    they are dealt out by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = np.frombuffer(zstandard.ZstdDecompressor().decompress(sketch), np.uint32)
+        levels = sketch.read()
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for own in slices(batch, "text"):
@@ -158,22 +190,22 @@ def _prefixes(docs: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
                 size = np.diff(at)
                 names = set_names(flat, at)
                 _, first = np.unique(names, return_index=True)  # equal sets of this slice once
-                chosen = np.zeros(len(size), bool)
-                chosen[first] = True
-                chosen &= size > 0
-                owner = np.repeat(np.arange(len(size)), size)
-                on = chosen[owner]
-                token, owner = flat[on], owner[on]
-                order = np.lexsort((token, frequency[slot(token)], owner))
-                token, owner = token[order], owner[order]
-                kept_sizes = np.where(chosen, size, 0)
-                pos = np.arange(len(token)) - np.repeat(np.cumsum(kept_sizes) - kept_sizes, kept_sizes)
-                on = pos < rule.prefix(size)[owner]
-                token, owner, pos = token[on], owner[on], pos[on]
+                first = first[size[first] > 0]
+                seen = levels[slot(flat, sketch.bits)]
+                keys = (seen.astype(U) << U(56)) | (flat >> U(8))
+                lengths = rule.prefix(size[first])
+                order = [at[i] + np.argsort(keys[at[i] : at[i + 1]])[:k] for i, k in zip(first.tolist(), lengths.tolist(), strict=True)]
+                chosen = np.concatenate(order) if order else np.zeros(0, np.int64)
+                owner = np.repeat(first, lengths)
+                token = flat[chosen]
                 entries = np.zeros(len(token), ENTRY)
-                entries["token"], entries["pos"], entries["n"] = token, pos, size[owner]
-                entries["set"] = names[owner]
-                salt = np.where(frequency[slot(token)] >= rule.frequent, names[owner], U(0))
+                entries["token"], entries["n"], entries["set"] = token, size[owner], names[owner]
+                heads = np.cumsum(lengths) - lengths
+                entries["pos"] = np.arange(len(token)) - np.repeat(heads, lengths)
+                if len(token):
+                    usual = np.add.reduceat(seen[chosen].astype(np.int64), heads) // lengths
+                    entries["rank"] = np.repeat(255 - usual, lengths)
+                salt = np.where(seen[chosen] >= sketch.hot, names[owner], U(0))
                 part = (mix(token ^ salt) % U(n_parts)).astype(np.int32)
                 order = np.lexsort((token, part))
                 part, entries = part[order], entries[order]
@@ -219,11 +251,11 @@ def partnered(e: np.ndarray, rule: Rule, reach: int = 16) -> np.ndarray:
     return keep
 
 
-def _active(packed: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataFrame:
-    """Postings of n-grams that two classes share, and all of frequent ones."""
+def _active(packed: DataFrame, sketch: Sketch, rule: Rule, n_parts: int) -> DataFrame:
+    """Postings of n-grams that two classes share, and all of hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = np.frombuffer(zstandard.ZstdDecompressor().decompress(sketch), np.uint32)
+        levels = sketch.read()
         held, part = [], None
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -234,12 +266,14 @@ def _active(packed: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
             same = (e["token"][1:] == e["token"][:-1]) & (e["set"][1:] == e["set"][:-1])
             e = e[np.r_[True, ~same]]
             twin = e["token"][1:] == e["token"][:-1]
-            e = e[np.r_[twin, False] | np.r_[False, twin] | (frequency[slot(e["token"])] >= rule.frequent)]
-            e = e[partnered(e, rule) | (frequency[slot(e["token"])] >= rule.frequent)]
+            hot = levels[slot(e["token"], sketch.bits)] >= sketch.hot
+            on = np.r_[twin, False] | np.r_[False, twin] | hot
+            e, hot = e[on], hot[on]
+            e = e[partnered(e, rule) | hot]
             for i in range(0, len(e), 50_000):
                 own = e[i : i + 50_000]
-                arrays = [longs(own["token"].copy()), longs(own["set"].copy()), pa.array(own["n"]), pa.array(own["pos"])]
-                yield pa.RecordBatch.from_arrays(arrays, ["token", "set", "n", "pos"])
+                arrays = [longs(own["token"].copy()), longs(own["set"].copy()), *(pa.array(own[c].astype(np.int32)) for c in ("n", "pos", "rank"))]
+                yield pa.RecordBatch.from_arrays(arrays, ["token", "set", "n", "pos", "rank"])
 
         for batch in batches:
             for k, data in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
@@ -250,7 +284,7 @@ def _active(packed: DataFrame, sketch: bytes, rule: Rule, n_parts: int) -> DataF
         yield from flush()
 
     dealt = packed.repartition(n_parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "token long, set long, n int, pos int")
+    return dealt.mapInArrow(run, "token long, set long, n int, pos int, rank int")
 
 
 def pack_set(tokens: np.ndarray) -> bytes:
@@ -344,67 +378,85 @@ def _possible(rule: Rule) -> Column:
     return short & (F.least(n - F.col("pos"), m - F.col("at")) >= rule.overlap(n, m))
 
 
-@dataclass(frozen=True)
-class Texts:
-    """Where the sets of classes come from: one document of each class is read again, only for classes that need it."""
+def _needed_sets(docs: DataFrame, classes: DataFrame, active: DataFrame, rule: Rule) -> DataFrame:
+    """A written table (set, size, bits, tokens) of the classes with active postings. classes: (set, rep); one document of
+    each class is read again. The ids of those documents are broadcast if they are few."""
+    needed = written(active.select("set").distinct(), "needed")
+    reps = written(classes.join(needed, "set", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
+    sets = written(_sets(docs.join(_small(reps, rule), "doc_id", "left_semi"), rule), "sets")
+    forget(docs.sparkSession, needed, reps)
+    return sets
 
-    docs: DataFrame
-    classes: DataFrame  # (set, rep)
-    rule: Rule
 
-    def sets(self, needed: DataFrame) -> DataFrame:
-        """needed: set. A written table (set, size, bits, tokens). The ids of the documents are broadcast if they are few."""
-        reps = written(self.classes.join(written(needed.distinct(), "needed"), "set", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
-        sets = _sets(self.docs.join(_small(reps, self.rule), "doc_id", "left_semi"), self.rule)
-        return written(sets, "sets")
+def leader(*more: str) -> Column:
+    """To be ordered by: the class with the least rare prefix comes first."""
+    return F.struct("rank", F.xxhash64("set").alias("h"), "set", *more)
 
 
-def _star_links(active: DataFrame, texts: Texts, rule: Rule) -> DataFrame:
+def _star_links(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links between each n-gram's leader and the other classes that have it: no more candidates than postings."""
-    rank = F.struct(F.xxhash64("set").alias("h"), "set", "n", "pos")
-    leaders = active.groupBy("token").agg(F.min(rank).alias("s"))
+    leaders = active.groupBy("token").agg(F.min(leader("n", "pos")).alias("s"))
     leaders = written(leaders.select("token", F.col("s.set").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("at")), "leaders")
     both = active.join(leaders, "token").where((F.col("set") != F.col("other")) & _possible(rule))
     pairs = both.select(F.least("set", "other").alias("u"), F.greatest("set", "other").alias("v")).distinct()
     pairs = written(pairs, "pairs")
-    sets = texts.sets(pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))))
     links = written(_verified(pairs, sets, rule), "verified")
-    forget(active.sparkSession, pairs, leaders, sets)
+    forget(active.sparkSession, pairs, leaders)
     return links
 
 
-def _touching(postings: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct (set, comp): classes and larger components, not their own, that may hold a class they link with. What the
-    members of a component know of an n-gram is put together first, so a large component is one row."""
-    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest")]
-    theirs = postings.groupBy("token", F.col("comp").alias("theirs"), F.col("weight").alias("their_weight")).agg(*bounds)
-    theirs = written(theirs, "theirs")
+def _grouped(active: DataFrame, members: DataFrame) -> DataFrame:
+    """Postings of n-grams that several components share, with comp and grp: the component of the best leader that any of
+    the component's n-grams has. members: (set, comp)."""
+    postings = active.join(members, "set")
+    found = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(leader("comp")).alias("lead"))
+    mixed = written(found.where("lo <> hi").select("token", "lead"), "mixed")
+    postings = written(postings.join(mixed, "token"), "postings")
+    groups = written(postings.groupBy("comp").agg(F.min("lead").alias("l")).select("comp", F.col("l.comp").alias("grp")), "groups")
+    return written(postings.select("token", "set", "n", "pos", "comp").join(groups, "comp"), "grouped")
+
+
+def _touching(postings: DataFrame, weights: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct (set, comp, n, grp): classes, and groups that may hold a class they link with. Of two groups the lighter
+    one's classes are held against the heavier one; within a group, all but those of its heaviest component against all.
+    What the members of a group know of an n-gram is put together first, so a large group is one row. weights: (grp, w,
+    main)."""
+    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+    theirs = postings.groupBy("token", "grp").agg(*bounds).join(weights, "grp")
+    theirs = written(theirs.withColumnsRenamed({"grp": "theirs", "w": "their_w", "main": "their_main"}), "theirs")
     n, least_m = F.col("n"), F.greatest(F.col("low"), F.ceil(F.col("n") * rule.percent / F.lit(100.0) - 1e-9))
     need = rule.overlap(n, least_m)
-    larger = F.struct("their_weight", "theirs") > F.struct("weight", "comp")
+    other = (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
+    within = (F.col("theirs") == F.col("grp")) & (F.col("comp") != F.col("their_main"))
+    larger = F.struct("their_w", "theirs") > F.struct("w", "grp")
     fits = (least_m <= F.col("high")) & (least_m * rule.percent <= n * F.lit(10_000.0 / rule.percent)) & (F.least(n - F.col("pos"), F.col("rest")) >= need)
-    return postings.join(theirs, "token").where(larger & fits).select("set", F.col("theirs").alias("comp")).distinct()
+    mine = postings.join(weights.select("grp", "w"), "grp")
+    return mine.join(theirs, "token").where(other & (within | larger) & fits).select("set", "comp", "n", F.col("theirs").alias("grp")).distinct()
 
 
 def _overlaps(rule: Rule):
     def run(_: tuple, table: pa.Table) -> pa.Table:
-        """side 0: classes of a component; side 1: classes to be held against them. One link per class of side 1."""
+        """side 0: classes of a group; side 1: classes to be held against them. The links that join components: each one
+        that joins what the block's earlier links have not."""
         side, names = table["side"].to_numpy(), table["set"].to_pylist()
+        comps, comp = np.unique(table["comp"].to_numpy(), return_inverse=True)
         tokens = [unpack_set(t) for t in table["tokens"].to_pylist()]
         mine, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found: list[tuple[int, int]] = []
         if len(mine) and len(others):
-            sizes = np.array([len(tokens[i]) for i in mine])
+            sizes, root = np.array([len(tokens[i]) for i in mine]), np.arange(len(comps))
             flat, owner = np.concatenate([tokens[i] for i in mine]), np.repeat(np.arange(len(mine)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
             for i in others:
                 a, b = np.searchsorted(flat, tokens[i]), np.searchsorted(flat, tokens[i], side="right")
-                hits = owner[np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True) if y > x] or [np.zeros(0, np.int64)])]
-                shared = np.bincount(hits, minlength=len(mine))
+                shared = np.bincount(owner[spread(a, b - a)], minlength=len(mine))
                 on = np.flatnonzero(100 * shared >= rule.percent * (sizes + len(tokens[i]) - shared))
-                if len(on):
-                    found.append((names[i], names[mine[on[0]]]))
+                theirs, first = np.unique(root[comp[mine[on]]], return_index=True)
+                for r, k in zip(theirs, on[first], strict=True):
+                    if r != root[comp[i]]:
+                        found.append((names[i], names[mine[k]]))
+                        root[root == r] = root[comp[i]]
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     return run
@@ -412,8 +464,8 @@ def _overlaps(rule: Rule):
 
 def _near_rows(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
-        """Rows of either side whose parities let them link with a row of the other side."""
-        side, size = table["side"].to_numpy(), table["size"].to_numpy()
+        """Rows of either side whose parities let them link with a row of the other side and of another component."""
+        side, size, comp = table["side"].to_numpy(), table["size"].to_numpy(), table["comp"].to_numpy()
         bits = [np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()]
         widths = np.array([len(b) for b in bits], np.int64)
         keep = np.zeros(len(side), bool)
@@ -425,52 +477,52 @@ def _near_rows(rule: Rule):
         for i in np.flatnonzero(side == 1):
             for w, (own, theirs) in groups.items():
                 width = min(w, int(widths[i]))
-                narrow = np.bitwise_xor.reduce(theirs.reshape(len(own), -1, width), axis=1)
+                narrow = np.bitwise_xor.reduce(theirs.reshape(len(own), -1, width), axis=1) if w > width else theirs
                 differ = np.bitwise_count(narrow ^ folded(bits[i], width)).sum(axis=1, dtype=np.int64)
                 total = size[own] + size[i]
-                on = differ <= total - 2 * need(total)
+                on = (differ <= total - 2 * need(total)) & (comp[own] != comp[i])
                 keep[own[on]] = True
                 keep[i] |= bool(on.any())
-        return table.filter(pa.array(keep)).select(["set", "comp", "xb", "yb", "side"])
+        return table.filter(pa.array(keep)).select(["set", "comp", "grp", "xb", "yb", "side"])
 
     return run
 
 
-def _block_links(touching: DataFrame, members: DataFrame, texts: Texts, rule: Rule) -> DataFrame:
-    """Holds each class against all classes of the components that it touches, in blocks of bounded size on both sides.
-    Classes and components are moved, pairs are not."""
-    weights = members.groupBy("comp").agg(F.sum("n").alias("w"))
-    wanted = touching.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).join(weights, "comp")
-    blocks = wanted.select("comp", F.ceil(F.col("w") / rule.block_grams).cast("int").alias("xs"), F.ceil(F.col("c") / rule.block_rows).cast("int").alias("ys"))
-    blocks = written(blocks, "blocks")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+def _block_links(touching: DataFrame, held: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Holds each class against all classes of the groups that it touches, in blocks of bounded size on both sides.
+    Classes and groups are moved, pairs are not. held: (set, comp, n, grp)."""
+    count = lambda w, c: F.greatest(F.ceil(F.col(w) / rule.block_grams), F.ceil(F.col(c) / rule.block_rows)).cast("int")
+    wanted = touching.groupBy("grp").agg(F.count(F.lit(1)).alias("yc"), F.sum("n").alias("yw"))
+    theirs = held.groupBy("grp").agg(F.sum("n").alias("xw"))
+    blocks = written(wanted.join(theirs, "grp").select("grp", F.ceil(F.col("xw") / rule.block_grams).cast("int").alias("xs"), count("yw", "yc").alias("ys")), "blocks")
+    along = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
-    mine = members.select("set", "comp").join(blocks, "comp").select("set", "comp", place("xs").alias("xb"), spread("ys").alias("yb"), F.lit(0).alias("side"))
-    others = touching.join(blocks, "comp").select("set", "comp", place("ys").alias("yb"), spread("xs").alias("xb"), F.lit(1).alias("side"))
+    mine = held.join(blocks, "grp").select("set", "comp", "grp", place("xs").alias("xb"), along("ys").alias("yb"), F.lit(0).alias("side"))
+    others = touching.join(blocks, "grp").select("set", "comp", "grp", place("ys").alias("yb"), along("xs").alias("xb"), F.lit(1).alias("side"))
     rows = written(mine.unionByName(others), "held")
-    sets = texts.sets(rows.select("set"))
-    key = ["comp", "xb", "yb"]
+    key = ["grp", "xb", "yb"]
     bitmaps = _small(rows, rule).join(sets.select("set", "size", "bits"), "set")
-    near = written(bitmaps.groupBy(*key).applyInArrow(_near_rows(rule), "set long, comp long, xb int, yb int, side int"), "near")
+    near = written(bitmaps.groupBy(*key).applyInArrow(_near_rows(rule), "set long, comp long, grp long, xb int, yb int, side int"), "near")
     links = written(_small(near, rule).join(sets.select("set", "tokens"), "set").groupBy(*key).applyInArrow(_overlaps(rule), "u long, v long"), "verified")
-    forget(members.sparkSession, rows, near, sets)
+    forget(held.sparkSession, rows, near)
     return links
 
 
-def class_components(active: DataFrame, texts: Texts, rule: Rule) -> DataFrame:
+def class_components(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(set, comp) of the classes that have links, comp being one of the component's classes."""
-    links = _star_links(active, texts, rule)
+    spark = active.sparkSession
+    links = _star_links(active, sets, rule)
     found = written(components(links), "found").select(F.col("node").alias("set"), F.col("component").alias("comp"))
-    release(active.sparkSession)
-    members = active.select("set", "n").distinct().join(found, "set", "left").select("set", "n", F.coalesce("comp", "set").alias("comp"))
-    members = written(members, "members")
-    weights = written(members.groupBy("comp").agg(F.sum("n").alias("weight")), "weights")
-    postings = active.join(written(members.join(weights, "comp").select("set", "comp", "weight"), "weighed"), "set")
-    mixed = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    postings = written(postings.join(written(mixed, "mixed"), "token", "left_semi"), "postings")
-    touching = written(_touching(postings, rule), "touching")
-    release(active.sparkSession)
-    more = _block_links(touching, members, texts, rule)
+    release(spark)
+    members = active.select("set").distinct().join(found, "set", "left").select("set", F.coalesce("comp", "set").alias("comp"))
+    postings = _grouped(active, written(members, "members"))
+    held = written(postings.select("set", "comp", "n", "grp").distinct(), "classes")
+    parts_of = held.groupBy("grp", "comp").agg(F.sum("n").alias("w"))
+    weights = written(parts_of.groupBy("grp").agg(F.sum("w").alias("w"), F.max_by("comp", F.struct("w", "comp")).alias("main")), "weights")
+    touching = written(_touching(postings, weights, rule), "touching")
+    forget(spark, postings)
+    release(spark)
+    more = _block_links(touching, held, sets, rule)
     if not more.head(1):
         return found
     found = written(components(links.unionByName(more)), "found")
@@ -482,18 +534,21 @@ def similarity_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # no
     by links, the document's own included. Repeated ids are so many documents with that id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    small_batches(spark)
     n_parts = parts(spark)
-    survey = written(_survey(docs, rule), "survey")
-    sketch = _sketch(survey)
+    bits = sketch_bits(n_parts)
+    survey = written(_survey(docs, rule, bits), "survey")
+    sketch = _sketch(survey, bits, rule, n_parts)
     members = survey.where("chunk is null").select("doc_id", "n", "set")
     classes = written(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep")), "classes")
     active = written(_active(_prefixes(docs, sketch, rule, 4 * n_parts), sketch, rule, n_parts), "active")
     release(spark)
-    comps = written(class_components(active, Texts(docs, classes, rule), rule), "comps")
+    sets = _needed_sets(docs, classes, active, rule)
+    comps = written(class_components(active, sets, rule), "comps")
     named = comps.join(classes, "set").groupBy("comp").agg(F.min("rep").alias("least"))
     merged = comps.join(written(named, "named"), "comp").select("set", "least")
     final = written(classes.join(merged, "set", "left").select("set", F.coalesce("least", "rep").alias("component_id")), "final")
-    forget(spark, active)
+    forget(spark, active, sets)
     release(spark)
     full = members.where("n > 0").join(final, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
