@@ -9,7 +9,9 @@ without the HTTP header.
 Writing: rows become records of type response or revisit, members of one .warc.gz per task. A folder's `_archives` file
 lists what was committed; files of failed or repeated tasks are not in it and are not read.
 
-A null payload is the empty one. A broken archive fails its task with the file's name.
+A null payload is the empty one. A null record_id is written as one made from the URI and the digest. Values with line ends
+or other control characters come back as they were. An empty table gives no archive, and reads back as no rows. A broken
+archive, or a header of more than 1 MB, fails its task with the file's name.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any, BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,8 @@ END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = "WARC/1.1"
 CHUNK = 1 << 16
+LONGEST_HEADER = 1 << 20
+ESCAPED, SAFE = "X-Escaped-Fields", "/:?#[]@!$&'()*+,;=-._~"
 
 
 def member(data: bytes, level: int = 2) -> bytes:
@@ -50,7 +55,11 @@ def member(data: bytes, level: int = 2) -> bytes:
 
 
 def header(fields: Sequence[tuple[str, str | None]]) -> bytes:
-    lines = [f"{k}: {v}" for k, v in fields if v is not None]
+    """Values with control characters or blanks at their ends are written with percent signs, and named in a field of their
+    own, so that they neither end the header nor come back changed."""
+    odd = [k for k, v in fields if v is not None and (not v.isprintable() or v != v.strip())]
+    lines = [f"{k}: {quote(v, safe=SAFE) if k in odd else v}" for k, v in fields if v is not None]
+    lines += [f"{ESCAPED}: {' '.join(odd)}"] if odd else []
     return "\r\n".join([VERSION, *lines]).encode() + END
 
 
@@ -63,7 +72,10 @@ def digest_hex(text: str | None) -> str | None:
     if text is None:
         return None
     value = text.partition(":")[2] or text
-    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+    try:
+        return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+    except ValueError:  # another archive's own way to write it
+        return value
 
 
 def record(row: dict[str, Any]) -> bytes:
@@ -76,14 +88,17 @@ def record(row: dict[str, Any]) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: {row.get('content_type') or 'text/html; charset=utf-8'}\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     digest = row.get("payload_digest") or hashlib.sha1(payload).hexdigest()
+    name = row.get("record_id")
+    if name is None:
+        name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row.get("target_uri")} {digest}')}"
     fields = [
         ("WARC-Type", row["record_type"]),
-        ("WARC-Record-ID", f"<{row['record_id']}>"),
+        ("WARC-Record-ID", f"<{name}>"),
         ("WARC-Date", row.get("record_date") or "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", row.get("target_uri")),
         ("WARC-Payload-Digest", digest_text(digest)),
         ("WARC-Profile", PROFILE if revisit else None),
-        ("WARC-Refers-To", f"<{row['refers_to']}>" if revisit and row.get("refers_to") else None),
+        ("WARC-Refers-To", f"<{row['refers_to']}>" if revisit and row.get("refers_to") is not None else None),
         ("X-Payload-Length", str(size)),
         ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -103,10 +118,11 @@ class Source:
         return bool(data)
 
     def _need(self, n: int) -> bool:
-        while len(self.held) < n:
-            if not self._more():
-                return False
-        return True
+        if len(self.held) < n:
+            self.held += self.file.read(max(n - len(self.held), CHUNK))
+        while len(self.held) < n and self._more():
+            pass
+        return len(self.held) >= n
 
     def _drop(self, n: int) -> None:
         """Goes n bytes on without keeping them."""
@@ -134,8 +150,8 @@ class Source:
                 raise ValueError("no gzip member where a record should begin")
             stated = self.held[3] & 4 and self.held[12:14] == b"sl" and self._need(24)
             self.size = struct.unpack_from("<I", self.held, 16)[0] if stated else 0
-            self.unpacker, self.text, self.used = zlib.decompressobj(31), b"", 0
-            while END not in self.text and self._unpack(4096):
+            self.unpacker, self.text, self.taken = zlib.decompressobj(31), b"", 0
+            while END not in self.text and len(self.text) < LONGEST_HEADER and self._unpack(4096):
                 pass
         else:
             while not self.held.strip(b"\r\n") and self._more():
@@ -143,7 +159,7 @@ class Source:
             self.held = self.held.lstrip(b"\r\n")
             if not self.held:
                 return None
-            while END not in self.held and self._more():
+            while END not in self.held and len(self.held) < LONGEST_HEADER and self._more():
                 pass
             self.text = self.held
         raw, found, _ = self.text.partition(END)
@@ -151,22 +167,25 @@ class Source:
         if not found or not lines[0].startswith("WARC/"):
             raise ValueError("no record header where a record should begin")
         out = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        for name in out.get(ESCAPED.lower(), "").lower().split():
+            out[name] = unquote(out.get(name, ""))
         self.start, self.length = len(raw) + 4, int(out.get("content-length", 0))
         return out
 
     def _unpack(self, limit: int) -> bool:
-        """Some more text of the member; False at its end."""
+        """Some more text of the member; False at its end. What the unpacker has taken is no longer held."""
         if self.unpacker.eof:
             return False
-        data = self.unpacker.unconsumed_tail or self.held[self.used : self.used + CHUNK]
-        if not data and not self._more():
-            raise EOFError("the archive ends within a record")
-        if not self.unpacker.unconsumed_tail:
-            data = self.held[self.used : self.used + CHUNK]
-            self.used += len(data)
+        data = self.unpacker.unconsumed_tail
+        if not data:
+            if not self.held and not self._more():
+                raise EOFError("the archive ends within a record")
+            data, self.held = self.held, b""
+            self.taken += len(data)
         self.text += self.unpacker.decompress(data, limit)
         if self.unpacker.eof:
-            self.used -= len(self.unpacker.unused_data)
+            self.held = self.unpacker.unused_data + self.held
+            self.taken -= len(self.unpacker.unused_data)
         return True
 
     def block(self) -> bytes:
@@ -181,18 +200,17 @@ class Source:
             pieces.append(self.text)
             total += len(self.text)
             self.text = b""
-        self._drop(self.used)
         return b"".join(pieces)[self.start : self.start + self.length]
 
     def skip(self) -> None:
         if not self.packed:
             self._drop(self.start + self.length)
-        elif self.size:
-            self._drop(self.size)
+        elif self.size and not self.unpacker.eof:
+            self.unpacker = None
+            self._drop(self.size - self.taken)
         else:
             while self._unpack(1 << 20):
                 self.text = b""
-            self._drop(self.used)
 
 
 def bare(value: str | None) -> str | None:
@@ -356,14 +374,16 @@ def with_revisits(df: DataFrame, least: int = 1000) -> DataFrame:
     """df: record_id, order (sortable), payload. Adds payload_digest, payload_bytes, record_type and refers_to: of records
     with equal payloads of at least so many bytes, the one with the largest order is the response. Repeated payloads are
     found by digests; only those that do repeat are joined back, and a payload that a third of all rows share is split by
-    the skew join, as both sides are dealt out for the join alone."""
+    the skew join, as both sides are dealt out for the join alone. Rows that share the largest order and the record_id are
+    all responses; null orders are the least. Columns of df that have an output's name are replaced."""
     from .shared import written
 
+    df = df.drop("payload_digest", "payload_bytes", "record_type", "refers_to")
     df = df.withColumn("payload", F.coalesce("payload", F.lit(b"")))
     df = df.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
     last = F.max(F.struct("order", "record_id")).alias("last")
     groups = df.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(last, F.count(F.lit(1)).alias("n"))
-    repeated = written(groups.where("n > 1").select("payload_digest", F.col("last.record_id").alias("keeper")), "repeated")
+    repeated = written(groups.where("n > 1").select("payload_digest", F.col("last.record_id").alias("__keeper")), "repeated")
     joined = df.join(repeated, "payload_digest", "left")
-    revisit = F.col("keeper").isNotNull() & (F.col("keeper") != F.col("record_id")) & (F.col("payload_bytes") >= least)
-    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("keeper"))}).drop("keeper")
+    revisit = F.col("__keeper").isNotNull() & ~F.col("__keeper").eqNullSafe(F.col("record_id")) & (F.col("payload_bytes") >= least)
+    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("__keeper"))}).drop("__keeper")
