@@ -5,24 +5,31 @@ finds the exponent at which the weights have a target entropy, and raises it whe
 limit of repetitions. The budget is by default the least at which every source is used whole once, so no document is lost.
 
 Weights become whole passes over a source, and one partial pass that stops when its tokens are spent. A source is cut by
-hash into blocks of about `block_tokens`; a pass takes them in turn, each in an order of its own. Only the block in which
-the partial pass ends is looked at document by document, so no source is gathered in one task. `mix_key`, from 0 to 1,
-interleaves all sources evenly: any stretch of the rows ordered by it has about the target weights.
+hash into blocks of about `block_tokens`; each pass takes them in a permutation of its own, and the documents of a block in
+an order of the pass's own too. The partial pass takes the first blocks of its permutation. Only the block in which it ends
+is looked at document by document, so no source is gathered in one task. `mix_key`, from 0 to 1, interleaves all sources
+evenly: any stretch of the rows ordered by it has about the target weights.
 
 Tokens are words between white space; null and empty texts have none, and stay in all whole passes. A null source is a
-source of its own. Repeated rows count each. Without tokens, every document is taken once.
+source of its own. Repeated rows count each, and rows that tie with the last one that the partial pass takes, by id and
+source, are taken with it. Without tokens, every document is taken once; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
 
+OUT = ("mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_key")
+#: Blocks whose sums are taken together at first.
+STRETCH = 4096
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -90,49 +97,88 @@ def solve(tokens: list[float], rule: Rule = Rule()) -> Plan:  # noqa: B008
     return Plan(exponent, weights, _passes(shares, weights, budget))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r]", " ")), " +"))
-    tokens = F.when(F.coalesce(F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r]", " ")), F.lit("")) == "", 0).otherwise(words)
-    return docs.withColumn("__tokens", tokens.cast("long"))
+def tokens_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def permuted(block: Column, factor: Column, shift: Column, blocks: Column) -> Column:
+    """Where a pass has this block: a bijection of the source's blocks, as the factor has no divisor in common with their
+    number."""
+    return F.pmod(block * factor + shift, blocks)
+
+
+def orders(source: str, passes: int, blocks: int, seed: int) -> list[tuple[int, int]]:
+    """A factor and a shift for each pass over a source."""
+    draw = random.Random(f"{seed}/{source}")
+    out = []
+    for _ in range(passes):
+        factor = draw.randrange(1, max(blocks, 2))
+        while math.gcd(factor, blocks) != 1:
+            factor = draw.randrange(1, max(blocks, 2))
+        out.append((factor, draw.randrange(blocks)))
+    return out
+
+
+SOURCES = "source string, weight double, whole int, part double, blocks long, spend double, orders array<struct<factor:long,shift:long>>"
+
+
+def _cuts(narrow: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, last, cut): the place of the block in which each source's partial pass ends, and the hash of the last
+    document that it takes there; null if it takes none of that block. Sums are taken over stretches of places first, then
+    over the blocks of one stretch, then over the documents of one block, so no task sees more than that of a source."""
+    rows = narrow.join(F.broadcast(sources), "source").where("spend > 0")
+    order = F.element_at("orders", F.col("whole") + 1)
+    rows = rows.withColumn("place", permuted(F.col("block"), order["factor"], order["shift"], F.col("blocks")))
+    blocks = written(rows.groupBy("source", "place", "spend").agg(F.sum("tokens").alias("t")), "blocks")
+
+    def ends(parts: DataFrame, at: str, before: Column) -> DataFrame:
+        """Of each source the last part that begins within the budget, and the tokens before it."""
+        so_far = Window.partitionBy("source").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        begun = parts.withColumn("before", before + F.coalesce(F.sum("t").over(so_far), F.lit(0))).where("before < spend")
+        found = begun.groupBy("source").agg(F.max_by(F.struct(F.col(at).alias("at"), "before"), at).alias("e"))
+        return found.select("source", F.col("e.at").alias("at"), F.col("e.before").alias("start"))
+
+    stretches = blocks.groupBy("source", F.floor(F.col("place") / STRETCH).alias("stretch"), "spend").agg(F.sum("t").alias("t"))
+    first = written(ends(stretches, "stretch", F.lit(0)), "stretch").withColumnRenamed("at", "chosen")
+    inner = blocks.join(F.broadcast(first), "source").where(F.floor(F.col("place") / STRETCH) == F.col("chosen"))
+    last = written(ends(inner, "place", F.col("start")), "last").withColumnRenamed("at", "last")
+    within = Window.partitionBy("source").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.join(F.broadcast(last), "source").where(F.col("place") == F.col("last"))
+    edge = edge.withColumn("before", F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).where("before < spend")
+    cut = written(edge.groupBy("source").agg(F.max("hash").alias("cut")), "cut")
+    return last.join(cut, "source", "left").select("source", "last", "cut")
 
 
 def mix(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """docs: doc_id, text, source and other columns. All their columns, with mix_tokens, mix_weight, mix_pass (from 0),
-    mix_block and mix_key; a document is there once for every pass that takes it."""
+    mix_block and mix_key; a document is there once for every pass that takes it. Columns of the input with those names
+    are replaced; no other name is taken."""
     spark = docs.sparkSession
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("__source")
-    rows = counted(docs).withColumn("__source", name)
-    sums = rows.groupBy("__source").agg(F.sum("__tokens").alias("t")).orderBy("__source").limit(rule.sources + 1).collect()
+    kept = [c for c in docs.columns if c not in OUT]
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), name.alias("source"), "doc_id", F.xxhash64("doc_id", F.lit(rule.seed), name).alias("hash"), tokens_of("text").alias("tokens"))
+    narrow = written(rows.select("source", "doc_id", "hash", "tokens"), "narrow")  # tokens are counted here, and once for the result
+    sums = narrow.groupBy("source").agg(F.sum("tokens").alias("t")).orderBy("source").limit(rule.sources + 1).collect()
     if len(sums) > rule.sources:
         raise ValueError(f"more than {rule.sources} sources")
     plan = solve([float(r["t"]) for r in sums], rule)
-    table = [
-        (r["__source"], w, int(p), p - int(p), max(1, -(-int(r["t"]) // rule.block_tokens)), (p - int(p)) * r["t"])
-        for r, w, p in zip(sums, plan.weights, [max(p, 1.0) if rule.budget is None else p for p in plan.passes], strict=True)
-    ]
-    kind = "__source string, __weight double, __whole int, __part double, __blocks long, __spend double"
-    sources = spark.createDataFrame(table, kind) if table else spark.createDataFrame([], kind)
+    table = []
+    for r, w, p in zip(sums, plan.weights, [max(p, 1.0) if rule.budget is None else p for p in plan.passes], strict=True):
+        blocks = max(1, -(-int(r["t"]) // rule.block_tokens))
+        table.append((r["source"], w, int(p), p - int(p), blocks, (p - int(p)) * r["t"], orders(r["source"], int(p) + 1, blocks, rule.seed)))
     # one row per source, of which the driver has just counted fewer than the limit
-    rows = rows.join(F.broadcast(sources), "__source")
-    draw = F.xxhash64("doc_id", F.lit(rule.seed), "__source")
-    rows = rows.withColumns({"__hash": draw, "mix_block": F.pmod(draw, F.col("__blocks"))})
-
-    # where the partial pass of each source ends: whole blocks before, documents of one block in hash order
-    narrow = rows.where("__spend > 0").select("__source", "mix_block", "__hash", "__tokens", "__spend", "doc_id")
-    blocks = narrow.groupBy("__source", "mix_block", "__spend").agg(F.sum("__tokens").alias("t"))
-    so_far = Window.partitionBy("__source").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = blocks.withColumn("before", F.coalesce(F.sum("t").over(so_far), F.lit(0))).where("before < __spend")
-    ends = written(ends.groupBy("__source").agg(F.max_by(F.struct(F.col("mix_block").alias("last"), "before"), "mix_block").alias("e")).select("__source", "e.last", "e.before"), "ends")
-    within = Window.partitionBy("__source").orderBy("__hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = narrow.join(F.broadcast(ends), "__source").where(F.col("mix_block") == F.col("last"))
-    edge = edge.withColumn("at", F.col("before") + F.coalesce(F.sum("__tokens").over(within), F.lit(0))).where(F.col("at") < F.col("__spend"))
-    cut = written(edge.groupBy("__source").agg(F.max("__hash").alias("__cut")), "cut")
-    ends = ends.join(cut, "__source", "left").select("__source", F.col("last").alias("__last"), "__cut")
-
-    rows = rows.join(F.broadcast(ends), "__source", "left")
-    more = (F.col("mix_block") < F.col("__last")) | ((F.col("mix_block") == F.col("__last")) & (F.col("__hash") <= F.col("__cut")))
-    times = F.col("__whole") + F.coalesce(more.cast("int"), F.lit(0))
-    rows = rows.where(times > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), times - 1)))
-    inside = F.pmod(F.xxhash64("__hash", "mix_pass"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    key = (F.col("mix_pass") + (F.col("mix_block") + inside) / F.col("__blocks")) / F.greatest(F.col("__whole") + F.col("__part"), F.lit(1e-9))
-    return rows.select(*docs.columns, F.col("__tokens").alias("mix_tokens"), F.col("__weight").alias("mix_weight"), "mix_pass", "mix_block", key.alias("mix_key"))
+    sources = spark.createDataFrame(table, SOURCES)
+    block = F.pmod("hash", F.col("blocks")).alias("block")
+    placed = narrow.join(F.broadcast(sources.select("source", "blocks")), "source").select("source", "doc_id", "hash", "tokens", block)
+    cuts = _cuts(placed, sources)
+    rows = rows.join(F.broadcast(sources), "source").join(F.broadcast(cuts), "source", "left").select("*", block)
+    order = F.element_at("orders", F.col("whole") + 1)
+    place = permuted(F.col("block"), order["factor"], order["shift"], F.col("blocks"))
+    more = (place < F.col("last")) | ((place == F.col("last")) & (F.col("hash") <= F.col("cut")))
+    times = F.col("whole") + F.coalesce(more.cast("int"), F.lit(0))
+    rows = rows.where(times > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), times - 1)))
+    order = F.element_at("orders", F.col("pass") + 1)
+    place = permuted(F.col("block"), order["factor"], order["shift"], F.col("blocks"))
+    inside = F.pmod(F.xxhash64("hash", "pass"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    key = (F.col("pass") + (place + inside) / F.col("blocks")) / F.greatest(F.col("whole") + F.col("part"), F.lit(1e-9))
+    return rows.select("row.*", F.col("tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("pass").alias("mix_pass"), F.col("block").alias("mix_block"), key.alias("mix_key"))
