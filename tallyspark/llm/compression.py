@@ -5,7 +5,9 @@ either dictionary (all of the text counts, and the last block weighs as the firs
 text's size is the only feature. A logistic curve, fitted on labelled texts that the dictionaries have not seen, turns it
 into a score.
 
-Texts that are null or empty have a difference of 0. Without both labels in training, every score is 0.5.
+Texts that are null or empty have a difference of 0. Without both labels in training, every score is 0.5. An id, or a text,
+that has both labels teaches nothing. Repeated rows each have their score, an empty table has none. Columns of the input
+that have the output's name are replaced.
 """
 
 from __future__ import annotations
@@ -21,17 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flattext import text_bytes
+from .langid import stretch
+from .shared import small_batches
 
 BLOCK = 2048
 
 
 @dataclass(frozen=True)
 class Limits:
-    """The bounded sample of labelled rows that the classifier is fitted on: per label as many texts as are expected from
-    a rate by a hash of the id, of texts up to so many bytes."""
+    """The bounded sample of labelled rows that the classifier is fitted on: per label as many ids as are expected from a
+    rate by a hash of the id, and never more than four times as many different texts. Of a longer text, one stretch of so
+    many characters, from a place that a hash gives."""
 
     texts: int = 1500
-    text_bytes: int = 32 << 10
+    text_chars: int = 32 << 10
     dictionary: int = 64 << 10
     level: int = 3
 
@@ -100,33 +105,33 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], limits: Limits = Limits()
 def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), label: str = "quality") -> Classifier:  # noqa: B008
     """docs: doc_id, text; labels: doc_id and a column of 0 and 1, both of the training rows only. The sample goes to the
     driver: its size is bounded by limits, not by the input. Repeated texts count once."""
-    labels = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
+    ys = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other"))
+    labels = ys.where("y = other").select("doc_id", "y")
     sizes = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.lit(False)
     for y, n in sizes.items():
         wanted = wanted | ((F.col("y") == y) & (draw < limits.texts / n))
-    chosen = labels.where(wanted).dropDuplicates(["doc_id"])  # about 2 * limits.texts rows
-    fits = F.octet_length("text").between(1, limits.text_bytes)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(fits).select("doc_id", F.col("text").cast("binary").alias("text"), "y")
-    found = rows.toArrow().sort_by([("doc_id", "ascending")])
-    seen = dict(zip(found["text"].to_pylist(), found["y"].to_pylist(), strict=True))
-    return fit(list(seen), list(seen.values()), limits)
+    chosen = labels.where(wanted)  # about 2 * limits.texts rows
+    hashed = F.xxhash64("text", F.lit(9))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0)
+    rows = rows.groupBy(hashed.alias("h"), stretch("text", hashed, limits.text_chars).alias("text")).agg(F.min("y").alias("y"), F.max("y").alias("other"))
+    found = rows.where("y = other").orderBy("h").limit(8 * limits.texts).select(F.col("text").cast("binary").alias("text"), "y").toArrow()
+    return fit(found["text"].to_pylist(), found["y"].to_pylist(), limits)
 
 
 def score(df: DataFrame, model: Classifier, text: str = "text", out: str = "score", keep: Sequence[str] | None = None) -> DataFrame:
     """df with a column of scores from 0 to 1. One pass, no shuffle; the model is at most two dictionaries."""
-    kept = list(df.columns if keep is None else keep)
-    if out in kept:
-        raise ValueError(f"the input already has {out}")
+    kept = [c for c in (df.columns if keep is None else keep) if c != out]
+    small_batches(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, places = text_bytes(batch.column(text))
+            buf, places = text_bytes(batch.column(0))
             data = memoryview(buf)
             texts = (data[a:b] for a, b in zip(places[:-1], places[1:], strict=True))
             scores = model.score(model.difference(texts)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], schema.names)
 
-    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return df.select(F.col(f"`{text}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)

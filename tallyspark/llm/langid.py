@@ -5,9 +5,11 @@ is the sum over all ways to cut it into pieces, found by a forward pass over its
 expectation-maximisation on a bounded sample of labelled texts. A text's score of a language is the mean log-probability of
 its words, and the posterior over languages gives prediction and score.
 
-A text that is null or has no letter is "und" with score 0. Words are lower-cased and split at white space; one of more than
-64 characters is scored in stretches of 64, so no word is skipped or shortened. Equal words are scored once per batch.
-Where nothing was learned, every prediction is "und".
+A text that is null or has no letter is "und" with score 0. Words are lower-cased and split at white space, and scored whole:
+long ones by a forward pass that keeps the last few characters' probabilities and their scale, however long they are. Equal
+words, as their bytes tell, are scored once as long as they are remembered. Where nothing was learned, every prediction is
+"und"; of languages that tie, the first by name is predicted. Repeated rows each have their prediction, an empty table none.
+Columns of the input that have an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -17,27 +19,31 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flattext import BYTES, Hasher, find_words, mix, slices, take_stretches, text_bytes
+from .flattext import Numbers, Stretches, find_words, mix, slices, take_stretches, text_bytes, windows
 from .sentencepieces import BLANK, NORMAL, Model
+from .shared import small_batches
 
 U = np.uint64
 UNDETERMINED = "und"
-STRETCH, LONGEST, LIFT, UNSEEN = 64, 16, 10.0, 1e-6
+SHORT, LONGEST, LIFT, UNSEEN, SEGMENT = 63, 16, 10.0, 1e-6, 4096
 POINT = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class Limits:
-    """The bounded sample that the classifier is fitted on: per language as many texts as are expected from a rate by a
-    hash of the id, of texts up to so many bytes; at most so many languages, the most frequent first."""
+    """The bounded sample that the classifier is fitted on: different texts, as many per language as are expected from a
+    rate by a hash of the text, and never more than `total` together, with which many languages have fewer each. Of a
+    longer text, one stretch of so many characters, from a place that the hash gives. stretch: into how long parts the
+    sample's words are cut at most."""
 
     texts: int = 300
-    text_bytes: int = 32 << 10
-    languages: int = 256
+    total: int = 60_000
+    text_chars: int = 32 << 10
+    stretch: int = 63
     rounds: int = 2
 
 
@@ -97,7 +103,7 @@ class Lattice:
             pieces.append(numbers[found[hit]])
         at, size, piece = np.concatenate(starts), np.concatenate(sizes), np.concatenate(pieces)
         heads = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        order = np.argsort((at - heads[at] + size).astype(np.uint8), kind="stable")
+        order = np.argsort((at - heads[at] + size).astype(np.uint16), kind="stable")
         return at[order], size[order], piece[order]
 
 
@@ -135,7 +141,7 @@ class Languages:
         return alpha, (before, after, sizes, pieces, weights, depth)
 
     def words(self, lattice: Lattice, words: Sequence[str]) -> np.ndarray:
-        """Log-probabilities by language; words of at most STRETCH characters."""
+        """Log-probabilities by language; words of at most SHORT characters, which need no scale."""
         if not words:
             return np.zeros((0, len(self.names)))
         points, lengths = word_points(words)
@@ -143,6 +149,34 @@ class Languages:
         ends = np.cumsum(lengths + 1) - 1
         return np.log(np.maximum(alpha[ends], 1e-300)) - lengths[:, None] * np.log(LIFT)
 
+    def long_word(self, lattice: Lattice, word: str) -> np.ndarray:
+        """The same of one word of any length, a segment at a time. From segment to segment go the probabilities of the
+        last LONGEST prefixes, brought to a scale, and the scale's logarithm."""
+        points, lengths = word_points([word])
+        n, scale = int(lengths[0]), np.zeros(len(self.names))
+        carried = np.ones((1, len(self.names)))  # of prefixes that end at most LONGEST before `done`, the last one at `done`
+        done = 0
+        while done < n:
+            base, stop = done - len(carried) + 1, min(n, done + SEGMENT)
+            starts, sizes, pieces = lattice.edges(points[base:stop], np.array([stop - base]))
+            on = starts + sizes > done - base
+            starts, sizes, pieces = starts[on], sizes[on], pieces[on]
+            weights = self.probabilities[pieces] * (LIFT ** sizes)[:, None]
+            alpha = np.zeros((stop - base + 1, len(self.names)))
+            alpha[: len(carried)] = carried
+            ends = starts + sizes
+            cuts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1], True])
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                end = int(ends[a])
+                alpha[end] = (alpha[starts[a:b]] * weights[a:b]).sum(axis=0)
+                if k % LONGEST == LONGEST - 1:
+                    low = max(0, end - LONGEST)
+                    top = np.maximum(alpha[low : end + 1].max(axis=0), 1e-300)
+                    alpha[low : end + 1] /= top
+                    scale += np.log(top)
+            carried, done = alpha[max(0, len(alpha) - LONGEST - 1) :], stop
+        return np.log(np.maximum(carried[-1], 1e-300)) + scale - n * np.log(LIFT)
+
     def expected(self, lattice: Lattice, words: Sequence[str], counts: np.ndarray) -> np.ndarray:
         """Expected numbers of uses of each piece, by language, over all segmentations. counts: words by languages."""
         points, lengths = word_points(words)
@@ -164,12 +198,12 @@ class Languages:
         return np.stack([np.bincount(pieces % n, use[:, k], n) for k in range(use.shape[1])], axis=1)
 
 
-def split_words(texts: Sequence[str]) -> list[str]:
-    """Lower-cased words, long ones in stretches."""
+def split_words(texts: Sequence[str], stretch: int) -> list[str]:
+    """Lower-cased words of a sample, long ones in parts."""
     out: list[str] = []
     for text in texts:
         for word in text.lower().split():
-            out += [word[i : i + STRETCH - 1] for i in range(0, len(word), STRETCH - 1)]
+            out += [word[i : i + stretch] for i in range(0, len(word), stretch)]
     return out
 
 
@@ -179,7 +213,7 @@ def fit(samples: dict[str, Sequence[str]], vocabulary: Sequence[str], limits: Li
     rows: dict[str, int] = {}
     tallies = []
     for k, name in enumerate(names):
-        for word in split_words(samples[name]):
+        for word in split_words(samples[name], limits.stretch):
             tallies.append((rows.setdefault(word, len(rows)), k))
     n = len(vocabulary)
     model = Languages(names, list(vocabulary), np.full((n + 1, len(names)), 1 / (n + 1)))
@@ -204,16 +238,26 @@ def vocabulary(path: str) -> list[str]:
     return list(dict.fromkeys(low for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL and len(low := p.lower()) == len(p)))
 
 
+def stretch(text: str, draw: Column, limit: int) -> Column:
+    """The text, or of a longer one a stretch of so many characters from a place that draw gives."""
+    at = F.pmod(draw, F.greatest(F.length(text) - limit + 1, F.lit(1))).cast("int") + 1
+    return F.substring(F.col(text), at, F.lit(limit))
+
+
 def train(docs: DataFrame, path: str, limits: Limits = Limits()) -> Languages:  # noqa: B008
-    """docs: doc_id, text and lang of the training rows only. path: the vocabulary. The sample goes to the driver: limits
-    bound its size, not the input. Rows with null lang or text teach nothing."""
-    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(limits.languages).collect()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(limits.texts / r["n"])).otherwise(rate)
-    rows = docs.where((draw < rate) & (F.octet_length("text") <= limits.text_bytes)).toArrow().sort_by([("doc_id", "ascending")])
+    """docs: text and lang of the training rows only. path: the vocabulary. The sample goes to the driver: limits bound its
+    size, not the input; copies of a text are one text. Rows with null lang or text teach nothing."""
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(limits.total).collect()
+    if not sizes:
+        return fit({}, vocabulary(path), limits)
+    each = min(limits.texts, max(1, limits.total // len(sizes)))
+    hashed = F.xxhash64("text", F.lit(8))
+    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], each / r["n"]) for r in sizes], "lang string, rate double")
+    chosen = docs.join(F.broadcast(rates), "lang").where(draw < F.col("rate"))  # at most `total` rows, as collected above
+    chosen = chosen.select("lang", hashed.alias("h"), stretch("text", hashed, limits.text_chars).alias("text")).distinct()
+    rows = chosen.orderBy("h", "lang").limit(2 * limits.total).toArrow()
     samples: dict[str, list[str]] = {r["lang"]: [] for r in sizes}
     for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True):
         samples[lang].append(text)
@@ -223,53 +267,43 @@ def train(docs: DataFrame, path: str, limits: Limits = Limits()) -> Languages:
 class Scorer:
     """Mean log-probabilities of texts; remembers words until there are too many."""
 
-    def __init__(self, model: Languages, remember: int = 1_000_000) -> None:
-        self.model, self.lattice, self.hasher, self.remember = model, Lattice(model.pieces), Hasher(BYTES), remember
+    def __init__(self, model: Languages) -> None:
+        self.model, self.lattice, self.units = model, Lattice(model.pieces), Stretches(20, 1 << 19)
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.known = np.zeros(0, U), np.zeros((0, len(self.model.names)), np.float32)
-
-    def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        return at, (self.hashes[at] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
+        self.units.clear()
+        self.known = Numbers(np.float32, len(self.model.names))
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(mean log-probability by language, number of words) of lower-cased texts."""
         buf, places = text_bytes(column)
         starts, ends = find_words(buf, places)
-        bounds = np.searchsorted(starts, places)
-        if not len(starts):
-            return np.zeros((len(places) - 1, len(self.model.names))), np.zeros(len(places) - 1, np.int64)
-        hashes, index, codes = np.unique(self.hasher(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) > self.remember:
-            self._clear()
-        at, hit = self._lookup(hashes)
-        new = np.flatnonzero(~hit)
-        if len(new):
-            self._learn(hashes[new], buf, starts[index[new]], ends[index[new]])
-            at, _ = self._lookup(hashes)
-        counts = np.diff(bounds)
-        out = np.zeros((len(counts), len(self.model.names)))
-        by_word = at[codes]
-        for k in range(out.shape[1]):
-            total = np.r_[0.0, np.cumsum(self.known[by_word, k], dtype=np.float64)]
-            out[:, k] = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(counts, 1)
-        return out, counts
-
-    def _learn(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        counts = np.diff(np.searchsorted(starts, places))
+        sums = np.zeros((len(counts), len(self.model.names)))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        for w in windows(starts, ends):
+            if self.units.full:
+                self._clear()
+            numbers, fresh = self.units.numbers(buf, starts[w], ends[w])
+            if len(fresh):
+                self.known.add(self._scores(buf, starts[w][fresh], ends[w][fresh]))
+            of, own = owner[w], self.known.all[numbers].astype(np.float64)
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            sums[of[first]] += np.add.reduceat(own, first, axis=0)
+        return sums / np.maximum(counts, 1)[:, None], counts
+
+    def _scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw, sizes = take_stretches(buf, starts, ends - starts).tobytes(), np.r_[0, np.cumsum(ends - starts)]
-        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
-        parts = [w if len(w) < STRETCH else None for w in words]
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
         values = np.zeros((len(words), len(self.model.names)))
-        short = np.array([i for i, p in enumerate(parts) if p is not None], np.int64)
-        for i in range(0, len(short), 20_000):
-            values[short[i : i + 20_000]] = self.model.words(self.lattice, [words[j] for j in short[i : i + 20_000]])
-        for i, part in enumerate(parts):
-            if part is None:
-                values[i] = self.model.words(self.lattice, split_words([words[i]]) or [""]).sum(axis=0)
-        to = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.known = np.insert(self.hashes, to, hashes), np.insert(self.known, to, values.astype(np.float32), axis=0)
+        short = np.array([i for i, w in enumerate(words) if len(w) <= SHORT], np.int64)
+        for i in range(0, len(short), 10_000):
+            values[short[i : i + 10_000]] = self.model.words(self.lattice, [words[j] for j in short[i : i + 10_000].tolist()])
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                values[i] = self.model.long_word(self.lattice, word)
+        return values
 
 
 def posterior(means: np.ndarray, counts: np.ndarray, sharpness: float) -> np.ndarray:
@@ -281,27 +315,26 @@ def posterior(means: np.ndarray, counts: np.ndarray, sharpness: float) -> np.nda
 
 
 def predict(df: DataFrame, model: Languages, text: str = "text", keep: Sequence[str] | None = None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with the predicted language and its posterior. One pass, no shuffle. Output names that are also kept raise
-    ValueError."""
-    kept = list(df.columns if keep is None else keep)
-    if clash := {lang, score} & set(kept):
-        raise ValueError(f"the input already has {', '.join(sorted(clash))}")
+    """df with the predicted language and its posterior. One pass, no shuffle."""
+    kept = [c for c in (df.columns if keep is None else keep) if c not in (lang, score)]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    low, letters = "__lower", "__letters"
-    df = df.select(*kept, F.lower(text).alias(low), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letters))
+    small_batches(df.sparkSession)
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.struct(F.lit(0).alias("none"))
+    df = df.select(row.alias("row"), F.lower(text).alias("low"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model.names else None
         for batch in batches:
-            for own in slices(batch, low):
-                sure = own.column(letters).to_numpy(zero_copy_only=False)
+            for own in slices(batch, "low"):
+                sure = own.column("letters").to_numpy(zero_copy_only=False)
                 if scorer is None:
                     names, best = [UNDETERMINED] * own.num_rows, np.zeros(own.num_rows)
                 else:
-                    p = posterior(*scorer.texts(own.column(low)), model.sharpness)
+                    p = posterior(*scorer.texts(own.column("low")), model.sharpness)
                     at = p.argmax(axis=1)
                     names = [model.names[k] if ok else UNDETERMINED for k, ok in zip(at, sure, strict=True)]
                     best = np.where(sure, p[np.arange(len(at)), at], 0.0)
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), pa.array(names, pa.string()), pa.array(best)], schema.names)
+                held = own.column("row").flatten()[: len(kept)]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(names, pa.string()), pa.array(best)], schema.names)
 
     return df.mapInArrow(run, schema)
