@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flattext import Hasher, find_words, mix, slices, text_bytes
-from .shared import forget, parts, release, written
+from .shared import forget, parts, release, small_batches, written
 
 U = np.uint64
 END, BEGIN = U(0x51ED270B5AFE1E5D), U(0x3C6EF372FE94F82B)
 HIGH = 5  # counts above this aren't discounted
-NULL_ID = np.iinfo(np.int64).min
 BLOCK_TOKENS = 1 << 20
 
 
@@ -101,14 +100,15 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         total = 0
         for batch in batches:
-            for own in slices(batch, "text", 4 << 20):
+            for own in slices(batch, "text"):
                 buf, places = text_bytes(own.column("text"))
                 starts, ends = find_words(buf, places)
                 counts = np.diff(np.searchsorted(starts, places))
                 tokens = np.full(len(starts) + len(counts), END)
                 tokens[np.arange(len(starts)) + np.repeat(np.arange(len(counts)), counts)] = hasher(buf, starts, ends)
-                ids = own.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+                ids = own.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
                 out = own.column("held_out").fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
+                out |= 2 * own.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
                 held.append((ids, out, (counts + 1).astype(np.int64), tokens))
                 total += len(tokens)
                 if total >= BLOCK_TOKENS:
@@ -123,7 +123,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 @dataclass
 class Block:
     ids: np.ndarray
-    held: np.ndarray
+    held: np.ndarray  # 1: held out; 2: the id is null
     sizes: np.ndarray
     words: np.ndarray
     codes: np.ndarray
@@ -135,7 +135,7 @@ class Block:
     @property
     def training(self) -> np.ndarray:
         """Of each token."""
-        return np.repeat(self.held == 0, self.sizes)
+        return np.repeat(self.held & 1 == 0, self.sizes)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hashes ascending, context code, word code, place of each token's pair). Context code -1 is the beginning."""
@@ -317,8 +317,8 @@ def _scored(blocks: DataFrame, words: DataFrame, pairs: DataFrame, s: Statistics
         scores, bases = np.add.reduceat(logs[at], cuts), np.add.reduceat(base[block.codes], cuts)
         known = np.add.reduceat((count[block.codes] > 0).astype(np.int64), cuts)
         for i in range(len(cuts)):
-            doc = None if block.ids[i] == NULL_ID else int(block.ids[i])
-            yield ("doc", None, text["block"], i, doc, int(block.held[i]), int(block.sizes[i]), int(known[i]), float(bases[i]), float(scores[i]), None, None, None, None)
+            doc = None if block.held[i] & 2 else int(block.ids[i])
+            yield ("doc", None, text["block"], i, doc, int(block.held[i] & 1), int(block.sizes[i]), int(known[i]), float(bases[i]), float(scores[i]), None, None, None, None)
         names = np.r_[BEGIN, block.words]
         mass = np.bincount(context[owned] + 1, discounted(both[owned], s.pair_factors), len(names))
         followers = np.bincount(context[owned] + 1, p[word[owned]], len(names))
@@ -399,6 +399,7 @@ def fit(docs: DataFrame) -> Model:
     """docs: doc_id long, text, held_out boolean. Learns from the texts that are not held out; scores has every text:
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), in log10."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = parts(spark)
     n_parts = 2 * n
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
