@@ -6,6 +6,10 @@
 4. mixing: sources are brought to tempered weights by repeating documents of small ones; none is lost.
 5. sentencepiece: token ids of each document.
 
+Null and empty texts have no language and go in the first stage; rows that share an id are scored each by itself, and are one
+document to the third stage, which keeps or drops them together and keeps rows without an id. A stage of no rows gives none.
+Columns beside those of documents stay until the last stage.
+
 Learning uses the labels of the documents table (lang), and the labels table (quality), of training folds only.
 """
 
@@ -25,12 +29,14 @@ MIX = mixing.Rule(entropy=0.9, repetition=2.0)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language. Without a labelled text to learn from none has."""
     model = langid.train(docs.where(queries.fold(5) != 0), queries.PIECES)
     found = langid.predict(docs, model, lang="__lang", score="__score")
     return found.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text isn't clearly bad. Without both labels to learn from all stay."""
     labels = queries.read(spark, sf_dir, "labels", "doc_id", "quality")
     model = compression.train(docs, labels.where(queries.fold(3) != 1))
     return compression.score(docs, model, out="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
@@ -45,10 +51,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's weight takes them, once at least. A null source is a source."""
     return mixing.mix(docs, MIX).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's ids; an empty text has none."""
     coded = sentencepieces.encode(docs, queries.PIECES, keep=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -61,7 +69,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", sentencepiece),
 ]
 
-#: The stages learn models and walk graphs, which SQL cannot express; tests hold them against brute force.
+#: The stages learn models, which SQL cannot express; tests/llm/test_queries.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
