@@ -4,7 +4,13 @@ The reader walks the nested boxes, decodes the sample tables (stsd, stts, stsz,
 codec, duration and the byte ranges of keyframes. The writer stores bytes losslessly as uncompressed 8-bit samples: video
 of 8 x 8 grey frames of 64 bytes each. Its output depends on nothing but the payload, so equal payloads have equal files.
 
-A null payload is the empty one; a null or broken container gives nulls in every column that is read from it.
+The index columns are those of the first video track, or of the first track where there is none; `index` also lists all
+tracks. Duration is the sum of the track's sample durations. Times, counts and places that a file states are checked
+against its size before anything is made from them: boxes nested more than 32 deep, a track with more samples than the
+file has bytes, or tables that do not agree are broken media, not a task's failure.
+
+A null payload is the empty one; a null or broken container gives nulls in every column that is read from it. Equal and
+repeated payloads are stored each by itself. No rows in give no rows out.
 """
 
 from __future__ import annotations
@@ -16,11 +22,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 # Names of boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"}
 FRAME, SIDE, RATE, KEY_EVERY, PER_CHUNK = 64, 8, 25, 25, 256
+DEEPEST = 32
 # Fixed value: the unity matrix of a header.
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -103,11 +113,13 @@ def walk(data: bytes, start: int = 0, stop: int | None = None) -> Iterator[tuple
         start = end
 
 
-def tree(data: bytes, start: int = 0, stop: int | None = None) -> dict[bytes, list]:
+def tree(data: bytes, start: int = 0, stop: int | None = None, depth: int = 0) -> dict[bytes, list]:
     """Boxes by name; of containers their own tree, of others their place. Each name lists all its boxes."""
+    if depth > DEEPEST:
+        raise BrokenMedia("boxes are nested too deep")
     out: dict[bytes, list] = {}
     for name, a, b in walk(data, start, stop):
-        out.setdefault(name, []).append(tree(data, a, b) if name in CONTAINERS else (a, b))
+        out.setdefault(name, []).append(tree(data, a, b, depth + 1) if name in CONTAINERS else (a, b))
     return out
 
 
@@ -158,12 +170,22 @@ def track(data: bytes, trak: dict[bytes, list]) -> Track:
     width, height = struct.unpack_from(">HH", data, entry + 32) if handler == "vide" else (0, 0)
     stsz = stbl[b"stsz"][0]
     same, n = _number(data, stsz, 4), _number(data, stsz, 8)
+    if n > len(data):
+        raise BrokenMedia("more samples than bytes")
+    times = stbl[b"stts"][0]
+    lasts = _table(data, times, 8, ">u4", _number(data, times, 4), 2).reshape(-1, 2)
+    if int(lasts[:, 0].sum()) != n:
+        raise BrokenMedia("sample times and samples don't agree")
+    duration = int((lasts[:, 0] * lasts[:, 1]).sum()) or duration
     sizes = np.full(n, same, np.int64) if same else _table(data, stsz, 12, ">u4", n)
     chunk_box, kind = (stbl[b"stco"][0], ">u4") if b"stco" in stbl else (stbl[b"co64"][0], ">u8")
     chunks = _table(data, chunk_box, 8, kind, _number(data, chunk_box, 4))
     stsc = stbl[b"stsc"][0]
     runs = _table(data, stsc, 8, ">u4", _number(data, stsc, 4), 3).reshape(-1, 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0] - 1, len(chunks)]))
+    spans = np.diff(np.r_[runs[:, 0] - 1, len(chunks)])
+    if (spans < 0).any() or int(spans.sum()) != len(chunks):
+        raise BrokenMedia("runs of chunks and chunks don't agree")
+    per_chunk = np.repeat(runs[:, 1], spans)
     if int(per_chunk.sum()) != n:
         raise BrokenMedia("chunks and samples don't agree")
     # a sample begins where its chunk does, plus the samples of the chunk before it
@@ -173,6 +195,8 @@ def track(data: bytes, trak: dict[bytes, list]) -> Track:
     keys = np.arange(n)
     if b"stss" in stbl:
         keys = _table(data, stbl[b"stss"][0], 8, ">u4", _number(data, stbl[b"stss"][0], 4)) - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= n):
+            raise BrokenMedia("a keyframe is no sample")
     return Track(handler, codec, width, height, timescale, duration, sizes, offsets, keys)
 
 
@@ -181,7 +205,7 @@ def read(data: bytes) -> list[Track]:
     try:
         boxes = tree(data)
         return [track(data, trak) for trak in boxes[b"moov"][0].get(b"trak", [])]
-    except (KeyError, IndexError, struct.error, ValueError) as e:
+    except (KeyError, IndexError, AttributeError, TypeError, struct.error, ValueError, OverflowError) as e:
         raise BrokenMedia(str(e)) from e
 
 
@@ -207,18 +231,27 @@ INDEX = T.StructType(
         T.StructField("keyframes", T.ArrayType(RANGE)),
     ]
 )
+TRACKS = T.StructField("tracks", T.ArrayType(T.StructType([T.StructField("handler", T.StringType()), *INDEX.fields])))
 ARROW = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+ARROW_TRACKS = pa.list_(
+    pa.struct([("handler", pa.string()), ("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", ARROW)])
+)
+
+
+def tracks_of(data: bytes | None) -> list[Track]:
+    """All tracks; none of a null or broken container."""
+    try:
+        return read(data) if data is not None else []
+    except BrokenMedia:
+        return []
 
 
-def index_columns(media: Sequence[bytes | None]) -> tuple[list[pa.Array], list[Track | None]]:
-    """The columns of INDEX, and the first track of each container."""
-    tracks: list[Track | None] = []
-    for data in media:
-        try:
-            found = read(data) if data is not None else []
-        except BrokenMedia:
-            found = []
-        tracks.append(found[0] if found else None)
+def main_track(tracks: Sequence[Track]) -> Track | None:
+    return next((t for t in tracks if t.handler == "vide"), tracks[0] if tracks else None)
+
+
+def index_columns(tracks: Sequence[Track | None]) -> list[pa.Array]:
+    """The columns of INDEX."""
     pick = lambda f, kind: pa.array([None if t is None else f(t) for t in tracks], kind)
     ranges = [t.key_ranges if t else np.zeros((0, 2), np.int64) for t in tracks]
     flat = np.concatenate(ranges) if ranges else np.zeros((0, 2), np.int64)
@@ -229,11 +262,18 @@ def index_columns(media: Sequence[bytes | None]) -> tuple[list[pa.Array], list[T
     return [
         pick(lambda t: t.codec, pa.string()), pick(lambda t: t.width, pa.int32()), pick(lambda t: t.height, pa.int32()),
         pick(lambda t: t.seconds, pa.float64()), pick(lambda t: len(t.sizes), pa.int64()), keys,
-    ], tracks
+    ]
+
 
+def _listed(tracks: Sequence[Track]) -> list[dict] | None:
+    if not tracks:
+        return None
+    ranges = lambda t: [{"offset": a, "length": b} for a, b in t.key_ranges.tolist()]
+    return [{"handler": t.handler, "codec": t.codec, "width": t.width, "height": t.height, "duration": t.seconds, "n_samples": len(t.sizes), "keyframes": ranges(t)} for t in tracks]
 
-def _pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+
+def _pieces(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    sizes = pa.compute.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(sizes), 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
@@ -241,41 +281,46 @@ def _pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterato
         start = stop
 
 
-def _schema(df: DataFrame, kept: Sequence[str], new: Sequence[T.StructField]) -> T.StructType:
-    if clash := {f.name for f in new} & set(kept):
-        raise ValueError(f"the input already has {', '.join(sorted(clash))}")
-    return T.StructType([*(df.schema[c] for c in kept), *new])
+def _schema(df: DataFrame, kept: Sequence[str], new: Sequence[T.StructField]) -> tuple[list[str], T.StructType]:
+    """Columns to keep, without those that an output replaces, and the result's schema."""
+    kept = [c for c in kept if c not in {f.name for f in new}]
+    return kept, T.StructType([*(df.schema[c] for c in kept), *new])
+
+
+def _select(df: DataFrame, first: str, kept: Sequence[str]) -> DataFrame:
+    return df.select(F.col(f"`{first}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept)))
 
 
 def store(df: DataFrame, payload: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """df with a column media: each payload, string or binary, padded to whole frames and packed; the index columns; and
     payload, the bytes read back from the container through its sample tables. keep: columns of df to return, all by
-    default. One pass, no shuffle; a row in gives a row out. Output names that are also kept raise ValueError."""
-    kept = list(df.columns if keep is None else keep)
+    default; one that has an output's name is replaced. One pass, no shuffle; a row in gives a row out."""
     new = [T.StructField("media", T.BinaryType()), *INDEX.fields, T.StructField("payload", T.BinaryType())]
-    schema = _schema(df, kept, new)
+    kept, schema = _schema(df, df.columns if keep is None else keep, new)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in _pieces(batch, payload):
-                media = [pack(padded(v or b"")) for v in own.column(payload).cast(pa.binary()).to_pylist()]
-                columns, tracks = index_columns(media)
-                back = [samples(m, t) for m, t in zip(media, tracks, strict=True)]
-                arrays = [*(own.column(c) for c in kept), pa.array(media, pa.binary()), *columns, pa.array(back, pa.binary())]
+            for own in _pieces(batch):
+                media = [pack(padded(v or b"")) for v in own.column(0).cast(pa.binary()).to_pylist()]
+                tracks = [read(m)[0] for m in media]
+                back = pa.array([samples(m, t) for m, t in zip(media, tracks, strict=True)], pa.binary())
+                arrays = [*own.columns[1:], pa.array(media, pa.binary()), *index_columns(tracks), back]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return df.select(*dict.fromkeys([*kept, payload])).mapInArrow(run, schema)
+    return _select(df, payload, kept).mapInArrow(run, schema)
 
 
 def index(df: DataFrame, media: str = "media", keep: Sequence[str] | None = None) -> DataFrame:
-    """df with the columns of INDEX for containers that it already holds."""
-    kept = list(df.columns if keep is None else keep)
-    schema = _schema(df, kept, INDEX.fields)
+    """df with the columns of INDEX for containers that it already holds, and `tracks`, the same of every track."""
+    kept, schema = _schema(df, df.columns if keep is None else keep, [*INDEX.fields, TRACKS])
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in _pieces(batch, media):
-                columns, _ = index_columns(own.column(media).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), *columns], schema.names)
+            for own in _pieces(batch):
+                tracks = [tracks_of(data) for data in own.column(0).to_pylist()]
+                listed = pa.array([_listed(t) for t in tracks], ARROW_TRACKS)
+                yield pa.RecordBatch.from_arrays([*own.columns[1:], *index_columns([main_track(t) for t in tracks]), listed], schema.names)
 
-    return df.select(*dict.fromkeys([*kept, media])).mapInArrow(run, schema)
+    return _select(df, media, kept).mapInArrow(run, schema)
