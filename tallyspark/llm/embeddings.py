@@ -40,7 +40,7 @@ class Rule:
     threshold: float = 0.98
     miss: float = 1e-3
     bits: int | None = None
-    block: int = 1000
+    block: int = 400
     seed: int = 4
 
     @property

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .flattext import Hasher, find_words, mix, slices, spread, text_bytes
-from .shared import forget, parts, release, small_batches, written
+from .shared import forget, parts, small_batches, written
 
 U = np.uint64
 CHUNK_BITS = 18
@@ -55,8 +55,8 @@ class Rule:
     percent: int = 75
     hot_share: float = 0.01
     broadcast_rows: int = 200_000
-    block_grams: int = 500_000
-    block_rows: int = 1000
+    block_grams: int = 150_000
+    block_rows: int = 500
 
     def prefix(self, size: np.ndarray) -> np.ndarray:
         return size - -(-self.percent * size // 100) + 1
@@ -513,7 +513,6 @@ def class_components(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFram
     spark = active.sparkSession
     links = _star_links(active, sets, rule)
     found = written(components(links), "found").select(F.col("node").alias("set"), F.col("component").alias("comp"))
-    release(spark)
     members = active.select("set").distinct().join(found, "set", "left").select("set", F.coalesce("comp", "set").alias("comp"))
     postings = _grouped(active, written(members, "members"))
     held = written(postings.select("set", "comp", "n", "grp").distinct(), "classes")
@@ -521,7 +520,6 @@ def class_components(active: DataFrame, sets: DataFrame, rule: Rule) -> DataFram
     weights = written(parts_of.groupBy("grp").agg(F.sum("w").alias("w"), F.max_by("comp", F.struct("w", "comp")).alias("main")), "weights")
     touching = written(_touching(postings, weights, rule), "touching")
     forget(spark, postings)
-    release(spark)
     more = _block_links(touching, held, sets, rule)
     if not more.head(1):
         return found
@@ -542,13 +540,11 @@ def similarity_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # no
     members = survey.where("chunk is null").select("doc_id", "n", "set")
     classes = written(members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep")), "classes")
     active = written(_active(_prefixes(docs, sketch, rule, 4 * n_parts), sketch, rule, n_parts), "active")
-    release(spark)
     sets = _needed_sets(docs, classes, active, rule)
     comps = written(class_components(active, sets, rule), "comps")
     named = comps.join(classes, "set").groupBy("comp").agg(F.min("rep").alias("least"))
     merged = comps.join(written(named, "named"), "comp").select("set", "least")
     final = written(classes.join(merged, "set", "left").select("set", F.coalesce("least", "rep").alias("component_id")), "final")
     forget(spark, active, sets)
-    release(spark)
     full = members.where("n > 0").join(final, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

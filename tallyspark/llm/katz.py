@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flattext import Hasher, find_words, mix, slices, text_bytes
-from .shared import forget, parts, release, small_batches, written
+from .shared import forget, parts, small_batches, written
 
 U = np.uint64
 END, BEGIN = U(0x51ED270B5AFE1E5D), U(0x3C6EF372FE94F82B)
@@ -336,7 +336,8 @@ def _scored(blocks: DataFrame, words: DataFrame, pairs: DataFrame, s: Statistics
         for part, cut in _by_part(left, n_parts):
             yield ("need", part, text["block"], None, None, None, None, None, None, None, pack_sorted(left[cut]), pack(who[cut].astype(np.int64)), None, None)
 
-    return _grouped(rows, "block", n, SCORED, work)
+    # hashing deals blocks out unevenly, less so over more tasks
+    return _grouped(rows, "block", 2 * n, SCORED, work)
 
 
 BACKOFF = "kind string, block long, part int, hashes binary, places binary, backoffs binary"
@@ -405,13 +406,10 @@ def fit(docs: DataFrame) -> Model:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
     blocks = written(_blocks(docs), "blocks")
     words = written(_totals(_sent(blocks, False, n_parts), n), "words")
-    release(spark)
     pairs = written(_totals(_sent(blocks, True, n_parts), n), "pairs")
     s = _statistics(words, pairs)
-    release(spark)
     scored = written(_scored(blocks, words, pairs, s, n_parts, n), "scored")
     forget(spark, blocks)
-    release(spark)
     backoffs = written(_backoffs(scored, n), "backoffs")
     sums = _sums(backoffs, n)
     rows = scored.where("kind = 'doc'").join(sums, ["block", "place"], "left")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import sys
-import time
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,34 +14,41 @@ from pyspark.sql import DataFrame, SparkSession
 from ..folders import shared_folder
 
 T = TypeVar("T")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what runs inside as soon as it has ended, and not when the driver's objects for
+    them happen to be collected."""
+    held = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, held)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and read again by whoever needs it, also after executors are
     lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that written() made and that nothing reads any more."""
-    for df in frames:
-        for file in df.inputFiles():
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written: it does when the driver's objects for them
-    are collected, which may otherwise come late. The first round drops what Python held of them, the second finds them."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BATCH_BYTES = 4 << 20
