@@ -1,7 +1,8 @@
-"""python -m tallyspark.cli describe|head|query|stream FILE ...
+"""python -m tallyspark.cli describe|head|query|page|stream|figures FILE ...
 
 describe FILE; head FILE [N]; query FILE [--threads N] [--where COL OP VAL]... [--group COL [--bucket W]]
-[--count | --sum COL | --avg COL | --min COL | --max COL] [--limit N]; stream FILE [--threshold N] [--limit N].
+[--count | --sum COL | --avg COL | --min COL | --max COL] [--limit N]; page, like query with --group, and --out PAGE.html;
+figures FILE [--check], with pandas; stream FILE [--threshold N] [--limit N].
 Files have the attribution log's columns, or end in .parquet. Exit: 2 for bad flags and operators, 1 for errors.
 """
 
@@ -14,9 +15,11 @@ import time
 
 from pyspark.sql import SparkSession
 
+from . import reports
 from .loader import load
 from .operators.aggregates import Agg
 from .operators.predicates import OPERATORS
+from .plans.result import Result
 from .schema import DICT
 from .streaming.table import StreamingTable
 
@@ -35,17 +38,22 @@ def parser() -> argparse.ArgumentParser:
     head = commands.add_parser("head")
     head.add_argument("file")
     head.add_argument("n", nargs="?", type=int, default=5)
-    query = commands.add_parser("query")
-    query.add_argument("file")
-    query.add_argument("--threads", type=int, default=0)
-    query.add_argument("--where", nargs=3, action="append", default=[], metavar=("COL", "OP", "VAL"))
-    query.add_argument("--group", default="")
-    query.add_argument("--bucket", type=int, default=0)
-    query.add_argument("--count", nargs=0, action=_Metric)
-    for name in ("sum", "avg", "min", "max"):
-        query.add_argument(f"--{name}", action=_Metric)
-    query.add_argument("--limit", type=int, default=20)
-    query.set_defaults(agg=Agg.COUNT, metric="")
+    for command in ("query", "page"):
+        query = commands.add_parser(command)
+        query.add_argument("file")
+        query.add_argument("--threads", type=int, default=0)
+        query.add_argument("--where", nargs=3, action="append", default=[], metavar=("COL", "OP", "VAL"))
+        query.add_argument("--group", default="", required=command == "page")
+        query.add_argument("--bucket", type=int, default=0)
+        query.add_argument("--count", nargs=0, action=_Metric)
+        for name in ("sum", "avg", "min", "max"):
+            query.add_argument(f"--{name}", action=_Metric)
+        query.add_argument("--limit", type=int, default=20)
+        query.set_defaults(agg=Agg.COUNT, metric="")
+    query.add_argument("--out", required=True)
+    figures = commands.add_parser("figures")
+    figures.add_argument("file")
+    figures.add_argument("--check", action="store_true")
     stream = commands.add_parser("stream")
     stream.add_argument("file")
     stream.add_argument("--threshold", type=int, default=10_000)
@@ -67,17 +75,35 @@ def number(text: str) -> float:
     return -size if sign == "-" else size
 
 
-def run_query(spark: SparkSession, o: argparse.Namespace) -> str:
+def asked(spark: SparkSession, o: argparse.Namespace) -> Result:
     table = load(o.file, verbose=True, spark=spark)
     query = table.threads(o.threads)
     for column, op, value in o.where:
         query = query.where(column, op, value if table.kind(column) == DICT else number(value))
     if o.group:
         query = query.group_by(o.group, o.bucket)
-    result = query.agg(o.agg, o.metric)
+    return query.agg(o.agg, o.metric)
+
+
+def run_query(spark: SparkSession, o: argparse.Namespace) -> str:
+    result = asked(spark, o)
     return (result.sort_by_value_desc() if o.group else result).to_string(o.limit)
 
 
+def run_page(spark: SparkSession, o: argparse.Namespace) -> str:
+    with open(o.out, "w", encoding="utf-8") as f:
+        f.write(reports.page(asked(spark, o), o.limit))
+    return f"{o.out}\n"
+
+
+def run_figures(spark: SparkSession, o: argparse.Namespace) -> str:
+    """With --check, what pandas finds otherwise is an error."""
+    found = reports.figures(load(o.file, spark=spark))
+    if o.check and (wrong := reports.differences(o.file, found)):
+        raise ValueError("; ".join(wrong))
+    return reports.shown(found) + ("pandas agrees\n" if o.check else "")
+
+
 def run_stream(spark: SparkSession, o: argparse.Namespace) -> str:
     """Lines of the file are inserted one by one; clicks are counted after each batch."""
     began, shown = time.perf_counter(), 0
@@ -112,10 +138,9 @@ def main(argv: list[str] | None = None) -> int:
             return 2
     try:
         spark = SparkSession.builder.appName("tallyspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        if o.command == "query":
-            out = run_query(spark, o)
-        elif o.command == "stream":
-            out = run_stream(spark, o)
+        runs = {"query": run_query, "page": run_page, "stream": run_stream, "figures": run_figures}
+        if o.command in runs:
+            out = runs[o.command](spark, o)
         else:
             table = load(o.file, spark=spark)
             out = table.describe() if o.command == "describe" else table.head(o.n)

@@ -1,8 +1,13 @@
 """Attribution logs for tests and benchmarks, made by Spark expressions: any number of rows, in parallel, the same for
-the same seed and number of partitions."""
+the same seed and number of partitions.
+
+python -m tallyspark.sources.generator FOLDER [--rows N] [--seed N] [--campaigns N] [--chunk N]
+"""
 
 from __future__ import annotations
 
+import argparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +19,8 @@ SPAN_S, DAY_S = 30 * 86400, 86400
 CATEGORY_CARDINALITIES = (12, 45, 120, 8, 300, 1500, 60, 25, 5000)
 
 
-def attribution_log(spark: SparkSession, rows: int, seed: int = 7, campaigns: int = 700, partitions: int | None = None) -> DataFrame:
+def attribution_log(spark: SparkSession, rows: int, seed: int = 7, campaigns: int = 700, partitions: int | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """Times span the whole period and ascend within each chunk of rows, as in logs that are put together from several."""
     draws = iter(range(seed * 1000, seed * 1000 + 999))
 
     def uniform(low: int, high: int) -> Column:
@@ -33,7 +39,7 @@ def attribution_log(spark: SparkSession, rows: int, seed: int = 7, campaigns: in
     one = lambda flag, then, other: F.when(F.col(flag) == 1, then).otherwise(F.lit(other))
     log = spark.range(0, rows, 1, partitions or spark.sparkContext.defaultParallelism).select(
         "id",
-        (F.col("id") * SPAN_S / max(rows, 1)).cast("bigint").alias("timestamp"),
+        F.floor((F.col("id") % chunk + F.rand(next(draws))) * SPAN_S / F.least(F.lit(chunk), rows - F.col("id") + F.col("id") % chunk)).cast("bigint").alias("timestamp"),
         uniform(0, 5_000_000).alias("uid"),
         F.concat(F.lit("camp_"), F.coalesce(skewed(campaigns), F.lit(0)).cast("string")).alias("campaign"),
         chance(CONVERSION_RATE).alias("conversion"),
@@ -59,3 +65,19 @@ def attribution_log(spark: SparkSession, rows: int, seed: int = 7, campaigns: in
 def write_log(log: DataFrame, path: str, sep: str = "\t") -> None:
     """One text file per partition, each with a header."""
     log.write.mode("overwrite").option("header", True).option("sep", sep).option("emptyValue", "").csv(path)
+
+
+def main(argv: list[str] | None = None) -> None:
+    number = lambda text: int(text.replace("_", ""))
+    options = argparse.ArgumentParser(prog="python -m tallyspark.sources.generator", description="Writes a synthetic log as text.")
+    options.add_argument("out", help="folder; it is overwritten")
+    for name, default in (("rows", 2_000_000), ("seed", 7), ("campaigns", 700), ("chunk", 1_000_000)):
+        options.add_argument(f"--{name}", type=number, default=default)
+    o = options.parse_args(argv)
+    spark = SparkSession.builder.appName("tallyspark").getOrCreate()
+    write_log(attribution_log(spark, o.rows, o.seed, o.campaigns, chunk=o.chunk), o.out)
+    print(f"{o.rows} rows in {o.out}")
+
+
+if __name__ == "__main__":
+    main()

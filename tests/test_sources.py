@@ -89,9 +89,24 @@ def test_command_line(spark, tmp_path, capsys):
     one = str(tmp_path / "one.tsv")
     lines = spark.read.text(path).collect()
     write(tmp_path / "one.tsv", "\n".join(r[0] for r in lines[:200]))
+    assert main(["figures", one, "--check"]) == 0 and "pandas agrees" in capsys.readouterr().out
+    shown = tmp_path / "page.html"
+    assert main(["page", one, "--group", "campaign", "--sum", "cost", "--limit", "3", "--out", str(shown)]) == 0
+    assert shown.read_text().count("<rect") == 3 and "sum_cost by campaign" in shown.read_text()
     assert main(["stream", one, "--threshold", "100"]) == 0 and "199 rows in 2 batches" in capsys.readouterr().out
 
 
+def test_generator(spark, tmp_path):
+    from tallyspark.sources import generator
+
+    generator.main([str(tmp_path / "log"), "--rows", "3_000", "--chunk", "1_000", "--campaigns", "5"])
+    table = load(str(tmp_path / "log"))
+    assert table.num_rows == 3000 and table.num_cols == 22 and len(table.group_by("campaign").count().keys) <= 5
+    times = [r["timestamp"] for r in attribution_log(spark, 2500, chunk=1000, partitions=1).select("timestamp").collect()]
+    assert all(times[i : i + 1000] == sorted(times[i : i + 1000]) for i in (0, 1000, 2000)) and times[1000] < times[999] and times[2000] < times[1999]
+    assert 0 <= min(times) and max(times) < generator.SPAN_S
+
+
 def test_only_the_header_is_dropped(spark, tmp_path):
     (tmp_path / "one.tsv").write_text("k\tn\nk\tn\na\t1\nk\tn\n")
     (tmp_path / "two").mkdir()
