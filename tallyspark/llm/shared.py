@@ -17,8 +17,24 @@ T = TypeVar("T")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all folders that operators have made in this process. Results read some of them until they are written, so
+    only the caller knows when."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -47,8 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that written() made and that nothing reads any more."""
     for table in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, table._folder)
+        _made.remove(table._folder)
 
 
 BATCH_BYTES = 4 << 20

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tallyspark.llm import embeddings, flattext, media, sentencepieces, tokenids, warc
-from tallyspark.llm.shared import new_path
+from tallyspark.llm.shared import clear, forget, new_path, written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -148,3 +148,13 @@ def test_recall_of_codes(spark):
         found = embeddings.near_duplicates(df, embeddings.Rule(bits=bits)).where("n_links > 0").count()
         assert found >= 0.99 * 800
     assert embeddings.Rule().plan(10**9)[0] == 30 and embeddings.Rule().plan(10**9)[1] < 60
+
+
+def test_folders_can_be_cleared(spark):
+    one, other = (written(spark.range(5), "t") for _ in range(2))
+    assert one.count() == 5
+    forget(spark, one)
+    kept = other._folder.removeprefix("file://")
+    assert not os.path.exists(one._folder.removeprefix("file://")) and os.path.exists(kept)
+    clear(spark)
+    assert not os.path.exists(kept)
