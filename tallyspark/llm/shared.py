@@ -64,7 +64,8 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that written() made and that nothing reads any more."""
     for table in tables:
         _delete(spark, table._folder)
-        _made.remove(table._folder)
+        if table._folder in _made:
+            _made.remove(table._folder)
 
 
 BATCH_BYTES = 4 << 20
