@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .flattext import text_bytes
 from .langid import stretch
-from .shared import small_batches
+from .shared import small_batches, tidied
 
 BLOCK = 2048
 
@@ -134,4 +134,4 @@ def score(df: DataFrame, model: Classifier, text: str = "text", out: str = "scor
             scores = model.score(model.difference(texts)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], schema.names)
 
-    return df.select(F.col(f"`{text}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)
+    return df.select(F.col(f"`{text}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(tidied(run), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, parts, small_batches, written
+from .shared import forget, parts, small_batches, tidied, written
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ def coded(df: DataFrame, rule: Rule, bits: int, tables: int) -> DataFrame:
             uid += n
             yield pa.RecordBatch.from_arrays(arrays, ["uid", "vec_id", "label", "width", "signs", "unit"])
 
-    return df.mapInArrow(run, f"uid long, vec_id long, label {kind}, width int, signs binary, unit binary")
+    return df.mapInArrow(tidied(run), f"uid long, vec_id long, label {kind}, width int, signs binary, unit binary")
 
 
 def _cells(rows: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _cells(rows: DataFrame, bits: int, tables: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(codes.reshape(-1))], ["uid", "group", "signs", "tbl", "code"])
 
     grouped = rows.where("signs is not null and label is not null").select("uid", F.xxhash64("label", "width").alias("group"), "signs")
-    cells = grouped.mapInArrow(run, "uid long, group long, signs binary, tbl int, code long")
+    cells = grouped.mapInArrow(tidied(run), "uid long, group long, signs binary, tbl int, code long")
     return cells.withColumn("cell", F.xxhash64("group", "tbl", "code"))
 
 
@@ -276,9 +276,9 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B
     rows = written(coded(df, rule, bits, tables), "coded")
     met = _met(_cells(rows, bits, tables), rule)
     dealt = met.select(*(c.split()[0] for c in MEETING.split(", "))).repartition(n, "meet").sortWithinPartitions("meet")
-    near = written(dealt.mapInArrow(_near_rows(rule, bits, tables), MEETING), "near")
+    near = written(dealt.mapInArrow(tidied(_near_rows(rule, bits, tables)), MEETING), "near")
     exact = near.join(rows.select("uid", "unit"), "uid").repartition(n, "meet").sortWithinPartitions("meet")
-    links = written(exact.mapInArrow(_linked_rows(rule, bits, tables), "uid long, n long, tie long"), "met")
+    links = written(exact.mapInArrow(tidied(_linked_rows(rule, bits, tables)), "uid long, n long, tie long"), "met")
     counts = links.groupBy("uid").agg(F.sum("n").alias("n_links"))
     comps = written(components(links.where("uid <> tie"), "uid", "tie"), "comps").select(F.col("node").alias("uid"), "component")
     named = comps.join(rows.select("uid", "vec_id"), "uid").groupBy("component").agg(F.min("vec_id").alias("least"))

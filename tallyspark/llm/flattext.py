@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return buf[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batch: pa.RecordBatch, column: str | int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most limit bytes of that column, one row at least."""
     lengths = np.diff(text_bytes(batch.column(column))[1])
     ends = np.cumsum(lengths)
@@ -156,7 +156,7 @@ class Stretches:
     that share a hash have two numbers. Which stretches are remembered depends on the size of the table; one that was
     forgotten gets a new number, which costs time and nothing else."""
 
-    def __init__(self, bits: int = 21, limit: int = 1 << 20) -> None:
+    def __init__(self, bits: int = 20, limit: int = 1 << 19) -> None:
         self.hasher, self.bits, self.limit = Hasher(BYTES), bits, limit
         self.clear()
 

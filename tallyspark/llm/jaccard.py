@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .flattext import Hasher, find_words, mix, slices, spread, text_bytes
-from .shared import forget, parts, small_batches, written
+from .shared import forget, parts, small_batches, tidied, written
 
 U = np.uint64
 CHUNK_BITS = 18
@@ -147,7 +147,7 @@ def _survey(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
         columns = [pa.array([c for c, _ in rows], pa.int32()), pa.array([packer.compress(p.tobytes()) for _, p in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays([*empty, *columns], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, set long, chunk int, counts binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, set long, chunk int, counts binary")
 
 
 def _sketch(survey: DataFrame, bits: int, rule: Rule, n_parts: int) -> Sketch:
@@ -164,7 +164,7 @@ def _sketch(survey: DataFrame, bits: int, rule: Rule, n_parts: int) -> Sketch:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["chunk", "total", "levels"])
 
     chunks = survey.where("chunk is not null").select("chunk", "counts")
-    rows = chunks.repartition(1 << (bits - CHUNK_BITS), "chunk").mapInArrow(run, "chunk int, total long, levels binary").collect()
+    rows = chunks.repartition(1 << (bits - CHUNK_BITS), "chunk").mapInArrow(tidied(run), "chunk int, total long, levels binary").collect()
     levels = np.zeros((1 << (bits - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
     for r in rows:
         levels[r["chunk"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["levels"])), np.uint8)
@@ -213,7 +213,7 @@ def _prefixes(docs: DataFrame, sketch: Sketch, rule: Rule, n_parts: int) -> Data
                 data = [packer.compress(columnar(entries[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array(data, pa.binary())], ["part", "entries"])
 
-    return docs.mapInArrow(run, "part int, entries binary")
+    return docs.mapInArrow(tidied(run), "part int, entries binary")
 
 
 def columnar(entries: np.ndarray) -> bytes:
@@ -284,7 +284,7 @@ def _active(packed: DataFrame, sketch: Sketch, rule: Rule, n_parts: int) -> Data
         yield from flush()
 
     dealt = packed.repartition(n_parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "token long, set long, n int, pos int, rank int")
+    return dealt.mapInArrow(tidied(run), "token long, set long, n int, pos int, rank int")
 
 
 def pack_set(tokens: np.ndarray) -> bytes:
@@ -331,7 +331,7 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 bits, data = (pa.array([f(t) for t in own_sets], pa.binary()) for f in (parities, pack_set))
                 yield pa.RecordBatch.from_arrays([longs(set_names(flat, at)), pa.array(np.diff(at)), bits, data], ["set", "size", "bits", "tokens"])
 
-    return docs.mapInArrow(run, "set long, size long, bits binary, tokens binary")
+    return docs.mapInArrow(tidied(run), "set long, size long, bits binary, tokens binary")
 
 
 def linked(a: bytes, b: bytes, percent: int) -> bool:
@@ -356,7 +356,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule, columns: list[str],
             yield batch.select(["u", "v"]).filter(pa.array(on, pa.bool_()))
 
     left, right = (sets.select(F.col("set").alias(k), *(F.col(c).alias(side + c) for c in columns)) for k, side in (("u", "x_"), ("v", "y_")))
-    return _small(pairs, rule).join(right, "v").join(left, "u").select("u", "v", *(side + c for c in columns for side in ("x_", "y_"))).mapInArrow(run, "u long, v long")
+    return _small(pairs, rule).join(right, "v").join(left, "u").select("u", "v", *(side + c for c in columns for side in ("x_", "y_"))).mapInArrow(tidied(run), "u long, v long")
 
 
 def _small(table: DataFrame, rule: Rule) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flattext import Hasher, find_words, mix, slices, text_bytes
-from .shared import forget, parts, small_batches, written
+from .shared import forget, parts, small_batches, tidied, written
 
 U = np.uint64
 END, BEGIN = U(0x51ED270B5AFE1E5D), U(0x3C6EF372FE94F82B)
@@ -117,7 +117,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, BLOCK)
+    return docs.mapInArrow(tidied(run), BLOCK)
 
 
 @dataclass
@@ -183,7 +183,7 @@ def _sent(blocks: DataFrame, pairs: bool, n_parts: int) -> DataFrame:
                 out = [(p, row["block"], pack_sorted(hashes[s]), pack(counts[s])) for p, s in _by_part(hashes, n_parts)]
                 yield _batch(out, SENT)
 
-    return blocks.mapInArrow(run, SENT)
+    return blocks.mapInArrow(tidied(run), SENT)
 
 
 ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
@@ -210,7 +210,7 @@ def _grouped(df: DataFrame, key: str, n: int, schema: str, work: Callable[[int,
         if rows:
             yield _batch(list(work(now, rows)), schema)
 
-    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(tidied(run), schema)
 
 
 TOTALS = "kind string, part int, block long, hashes binary, counts binary, owned binary, histogram array<long>, total long"

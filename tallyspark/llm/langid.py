@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .flattext import Numbers, Stretches, find_words, mix, slices, take_stretches, text_bytes, windows
 from .sentencepieces import BLANK, NORMAL, Model
-from .shared import small_batches
+from .shared import small_batches, tidied
 
 U = np.uint64
 UNDETERMINED = "und"
@@ -268,7 +268,7 @@ class Scorer:
     """Mean log-probabilities of texts; remembers words until there are too many."""
 
     def __init__(self, model: Languages) -> None:
-        self.model, self.lattice, self.units = model, Lattice(model.pieces), Stretches(20, 1 << 19)
+        self.model, self.lattice, self.units = model, Lattice(model.pieces), Stretches(20, 1 << 18)
         self._clear()
 
     def _clear(self) -> None:
@@ -298,8 +298,8 @@ class Scorer:
         words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
         values = np.zeros((len(words), len(self.model.names)))
         short = np.array([i for i, w in enumerate(words) if len(w) <= SHORT], np.int64)
-        for i in range(0, len(short), 10_000):
-            values[short[i : i + 10_000]] = self.model.words(self.lattice, [words[j] for j in short[i : i + 10_000].tolist()])
+        for i in range(0, len(short), 4000):
+            values[short[i : i + 4000]] = self.model.words(self.lattice, [words[j] for j in short[i : i + 4000].tolist()])
         for i, word in enumerate(words):
             if len(word) > SHORT:
                 values[i] = self.model.long_word(self.lattice, word)
@@ -337,4 +337,4 @@ def predict(df: DataFrame, model: Languages, text: str = "text", keep: Sequence[
                 held = own.column("row").flatten()[: len(kept)]
                 yield pa.RecordBatch.from_arrays([*held, pa.array(names, pa.string()), pa.array(best)], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)

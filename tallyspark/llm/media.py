@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import small_batches, tidied
 
 # Names of boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"}
@@ -308,7 +308,7 @@ def store(df: DataFrame, payload: str = "text", keep: Sequence[str] | None = Non
                 arrays = [*own.columns[1:], pa.array(media, pa.binary()), *index_columns(tracks), back]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return _select(df, payload, kept).mapInArrow(run, schema)
+    return _select(df, payload, kept).mapInArrow(tidied(run), schema)
 
 
 def index(df: DataFrame, media: str = "media", keep: Sequence[str] | None = None) -> DataFrame:
@@ -323,4 +323,4 @@ def index(df: DataFrame, media: str = "media", keep: Sequence[str] | None = None
                 listed = pa.array([_listed(t) for t in tracks], ARROW_TRACKS)
                 yield pa.RecordBatch.from_arrays([*own.columns[1:], *index_columns([main_track(t) for t in tracks]), listed], schema.names)
 
-    return _select(df, media, kept).mapInArrow(run, schema)
+    return _select(df, media, kept).mapInArrow(tidied(run), schema)

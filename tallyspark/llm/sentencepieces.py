@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flattext import Numbers, Stretches, slices, spread, take_stretches, text_bytes, windows
-from .shared import in_worker, small_batches
+from .shared import in_worker, small_batches, tidied
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -338,7 +338,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
                     columns.append(decoder.texts(flat, places))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.select(F.col(f"`{text}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)
+    return df.select(F.col(f"`{text}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -357,7 +357,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
                 texts = pa.compute.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], schema.names)
 
-    return df.select(F.col(f"`{ids}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(run, schema)
+    return df.select(F.col(f"`{ids}`"), *(F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(kept))).mapInArrow(tidied(run), schema)
 
 
 __all__ = ["Decoder", "Encoder", "Model", "decode", "encode", "spread"]

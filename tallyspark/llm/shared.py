@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..folders import shared_folder
@@ -78,6 +80,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run; when the task has ended, the memory that it freed goes back to the system, as workers outlive their tasks."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def in_worker(key: tuple, make: Callable[[], T]) -> T:
     """An object that a Python worker keeps from task to task, such as a vocabulary's tables: one at a time, the last one
     asked for. The module that holds it is the process's own, as functions come to it by value."""

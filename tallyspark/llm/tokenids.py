@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .flattext import mix, slices, spread, take_stretches, text_bytes
 from .sentencepieces import Known
-from .shared import in_worker, parts, small_batches, written
+from .shared import in_worker, parts, small_batches, tidied, written
 from .stores import read_file, write_file
 
 MAGIC, EVERY, BLOCK = b"RPIDS\x01\0\0", 4096, 4096
@@ -319,7 +319,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, rule: Rule = Rule()) -> Da
     # rows of one id are told apart by their place, so that many of them are several tasks
     rows = rows.withColumn("place", F.monotonically_increasing_id())
     ranged = rows.repartitionByRange(parts(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place")
-    listed = written(ranged.select("doc_id", "text").mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long"), "shards")
+    listed = written(ranged.select("doc_id", "text").mapInArrow(tidied(run), "part int, seq int, file string, n_docs long, n_ids long"), "shards")
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
     before = listed.groupBy("part").agg(F.sum("n_ids").alias("t")).select("part", F.coalesce(F.sum("t").over(across), F.lit(0)).alias("before"))
@@ -341,7 +341,7 @@ def read(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names, pa.array(ends - shard.counts + start), pa.array(shard.counts), pa.array(data, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     spread = shards.select("file", "start").repartition(parts(shards.sparkSession))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def encode_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
