@@ -225,8 +225,8 @@ def fit(samples: dict[str, Sequence[str]], vocabulary: Sequence[str], limits: Li
     lattice, words = Lattice(vocabulary), list(rows)
     for _ in range(limits.rounds):
         use = np.zeros_like(model.probabilities)
-        for i in range(0, len(words), 50_000):
-            use += model.expected(lattice, words[i : i + 50_000], counts[i : i + 50_000])
+        for i in range(0, len(words), 8000):
+            use += model.expected(lattice, words[i : i + 8000], counts[i : i + 8000])
         use /= np.maximum(use.sum(axis=0), 1e-300)
         model.probabilities = (use + UNSEEN) / (use + UNSEEN).sum(axis=0)
     return model
