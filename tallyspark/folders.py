@@ -1,4 +1,4 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and files in it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes that go to the JVM at once.
+SLICE = 1 << 22
 _own: list[tempfile.TemporaryDirectory] = []
 
 
@@ -22,3 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
         _own.append(tempfile.TemporaryDirectory(prefix="tallyspark-"))
         atexit.register(_own[0].cleanup)
     return _own[0].name
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A new file on any store that Spark can write to."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, False)
+    try:
+        for i in range(0, len(data), SLICE):
+            out.write(data[i : i + SLICE])
+    finally:
+        out.close()

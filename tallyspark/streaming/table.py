@@ -1,31 +1,51 @@
-"""StreamingTable: rows go in one at a time, micro-batches make them visible, batch queries read what is visible.
-
-insert() gathers lines on the driver and hands each full buffer to the source folder as one file. A Structured Streaming
-query takes a file per micro-batch, parses it by the same expressions as the bulk loader, and writes a Parquet folder
-named after the batch; a replayed batch overwrites its own folder, so each row counts once. Queries read the folders of
-the batches that have ended, so a batch becomes visible as a whole. Folders are merged, so many small ones to one of the next
-size, so their number grows with the logarithm of the batches; merged folders stay for queries that still read them. A
-blank line is a row of defaults here.
+"""StreamingTable: rows go in one at a time, batches of them become visible as a whole, batch queries read what is visible.
+
+insert() gathers lines on the driver and writes each full buffer as one file of raw lines. The files wait in a bounded
+queue; a thread of the driver makes them visible one after the other and merges what is visible: so many files, or folders
+of one size, become a Parquet folder of the next size, so their number grows with the logarithm of the batches. The first
+merge parses the lines, by the same expressions as the bulk loader; queries parse the few files that are not merged yet. So
+a batch costs no Spark job of its own. Merged files and folders stay for queries that still read them.
+
+Text files that others put into the source folder go through a Structured Streaming query, one file per micro-batch; a
+replayed batch overwrites its own folder, so each row counts once. A blank line is a row of defaults in both.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import queue
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 from typing import TypeVar
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..folders import shared_folder
+from ..folders import shared_folder, write_file
 from ..plans.query import Table
 from ..schema import SPARK_TYPES, resolve
 from ..sources.delimited import ROW, bind_header, typed_fields, without_cr
 
 R = TypeVar("R")
-#: How many folders of one size are merged to one of the next.
+#: How many files, or folders of one size, are merged to a folder of the next.
 MERGE = 16
+#: A row's place: its batch, and its number or its order there.
+PLACE = T.StructField(ROW, T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.LongType())]))
+
+
+def _as_parquet(lines: list[str], number: int) -> bytes:
+    """Not as text: a row may hold line ends."""
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    place = pa.StructArray.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), len(lines)), pa.array(range(len(lines)), pa.int64())], ["batch", "n"])
+    out = pa.BufferOutputStream()
+    parquet.write_table(pa.table({"value": pa.array(lines, pa.string()), ROW: place}), out, use_dictionary=False, write_statistics=False)
+    return out.getvalue().to_pybytes()
 
 
 class StreamingTable:
@@ -40,16 +60,22 @@ class StreamingTable:
         header: str | None = None,
     ) -> None:
         """Fields are bound by the schema's order, or by the header line if one is given. path: a folder all executors
-        share; by default one below spark.checkpoint.dir. At most queue_capacity files wait; then insert() blocks."""
+        share; by default one below spark.checkpoint.dir. At most queue_capacity files wait to become visible; then insert()
+        blocks until one of them is taken."""
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.kinds, self.sep = resolve(schema), delimiter[:1] or "\t"
         self.positions = bind_header(header, self.kinds, self.sep) if header else {n: i for i, n in enumerate(self.kinds)}
         self.threshold, self.capacity = max(1, flush_threshold), max(1, queue_capacity)
         self.root = f"{path or shared_folder(self.spark)}/stream-{uuid.uuid4().hex}"
         self._buffer: list[str] = []
-        self._inserted = self._visible = self._files = 0
-        self._batches: dict[int, int] = {}
-        self._folders: list[tuple[int, str]] = []  # level and path, in the order of their rows
+        self._inserted = self._visible = self._arrived = self._flushed = 0  # rows inserted, visible, and both; batches
+        self._numbers = itertools.count()  # of batches, in their order
+        self._batches: set[int] = set()  # micro-batches that have ended
+        self._folders: list[tuple[int, str]] = []  # level and path, in the order of their rows; replaced, never changed
+        self._lock = threading.Lock()
+        self._waiting: queue.Queue[tuple[str, int] | None] = queue.Queue(self.capacity)
+        self._flusher: threading.Thread | None = None
+        self._failure: Exception | None = None
         self._query = None
 
     # --- writing
@@ -65,15 +91,41 @@ class StreamingTable:
             self.insert(row)
 
     def _hand_off(self) -> None:
+        self._raise_failure()
         if not self._buffer:
             return
-        lines = self.spark.createDataFrame([(row,) for row in self._buffer], "value string").coalesce(1)
-        lines.write.mode("append").option("lineSep", "\n").text(f"{self.root}/source")
-        self._buffer, self._files = [], self._files + 1
-        if self._query is None:
-            self._start()
-        if self._files - len(self._batches) >= self.capacity:
-            self._query.processAllAvailable()
+        number = next(self._numbers)
+        path = f"{self.root}/inserted/{number}.parquet"
+        write_file(self.spark, path, _as_parquet(self._buffer, number))
+        if self._flusher is None:
+            self._flusher = InheritableThread(self._flush, session=self.spark, daemon=True)
+            self._flusher.start()
+        rows, self._buffer = len(self._buffer), []
+        self._waiting.put((path, rows))
+
+    def _flush(self) -> None:
+        """The flusher's thread, until it gets None. After a failure the rest is let go, so that nobody waits for it."""
+        for path, rows in iter(self._waiting.get, None):
+            try:
+                if self._failure is None:
+                    self._publish(self.spark, path, rows)
+            except Exception as e:
+                self._failure = e
+            finally:
+                self._waiting.task_done()
+        self._waiting.task_done()
+
+    def _raise_failure(self) -> None:
+        if self._failure is not None:
+            raise RuntimeError("a batch could not be flushed") from self._failure
+
+    def _publish(self, spark: SparkSession, path: str, rows: int) -> None:
+        with self._lock:
+            self._folders = [*self._folders, (0, path)]
+            self._visible += rows
+            self._arrived += rows if self._is_raw(path) else 0
+            self._flushed += 1
+            self._folders = self._merged(spark, self._folders)
 
     def _start(self) -> None:
         source = self.spark.readStream.format("text").schema("value string").option("lineSep", "\n").option("maxFilesPerTrigger", 1)
@@ -84,37 +136,57 @@ class StreamingTable:
     def _apply(self, lines: DataFrame, batch: int) -> None:
         if batch in self._batches:  # it ended before
             return
-        place = F.struct(F.lit(batch).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("n")).alias(ROW)
-        numbered = lines.select(without_cr(F.col("value")).alias("value"), place)
+        place = F.struct(F.lit(next(self._numbers)).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("n")).alias(ROW)
         out = f"{self.root}/table/batch={batch}"
-        typed_fields(numbered, self.positions, self.kinds, self.sep).write.mode("overwrite").parquet(out)
+        self._parsed(lines.select("value", place)).write.mode("overwrite").parquet(out)
         rows = lines.sparkSession.read.parquet(out).count()  # from the footers
-        self._folders = self._merged(lines.sparkSession, [*self._folders, (0, out)])
-        self._batches[batch] = rows
-        self._visible += rows
+        self._batches.add(batch)
+        self._publish(lines.sparkSession, out, rows)
+
+    def _is_raw(self, path: str) -> bool:
+        """A file of inserted lines, which are not parsed yet."""
+        return path.startswith(f"{self.root}/inserted/")
+
+    def _parsed(self, lines: DataFrame) -> DataFrame:
+        return typed_fields(lines.select(without_cr(F.col("value")).alias("value"), ROW), self.positions, self.kinds, self.sep)
+
+    def _rows(self, spark: SparkSession, folders: list[tuple[int, str]]) -> DataFrame:
+        raw = [path for _, path in folders if self._is_raw(path)]
+        done = [path for _, path in folders if not self._is_raw(path)]
+        parts = [spark.read.schema(self._row_schema()).parquet(*done)] if done else []
+        if raw:
+            parts.append(self._parsed(spark.read.schema(T.StructType([T.StructField("value", T.StringType()), PLACE])).parquet(*raw)))
+        return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], self._row_schema())
 
     def _merged(self, spark: SparkSession, folders: list[tuple[int, str]]) -> list[tuple[int, str]]:
         while len(folders) >= MERGE and folders[-MERGE][0] == folders[-1][0]:
             level, path = folders[-1][0] + 1, f"{self.root}/table/merged-{uuid.uuid4().hex}"
-            spark.read.schema(self._row_schema()).parquet(*(f for _, f in folders[-MERGE:])).coalesce(max(1, level)).write.parquet(path)
+            self._rows(spark, folders[-MERGE:]).coalesce(max(1, level)).write.parquet(path)
             folders = [*folders[:-MERGE], (level, path)]
         return folders
 
     def _row_schema(self) -> T.StructType:
-        row = T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.LongType())])
-        return T.StructType([*(T.StructField(name, SPARK_TYPES[self.kinds[name]]) for name in self.positions), T.StructField(ROW, row)])
+        return T.StructType([*(T.StructField(name, SPARK_TYPES[self.kinds[name]]) for name in self.positions), PLACE])
 
     def flush_sync(self) -> None:
         """All rows inserted so far are visible when this returns."""
         self._hand_off()
+        self._waiting.join()
+        self._raise_failure()
         if self._query is not None:
             self._query.processAllAvailable()
 
     def stop(self) -> None:
-        self.flush_sync()
-        if self._query is not None:
-            self._query.stop()
-            self._query = None
+        try:
+            self.flush_sync()
+        finally:
+            if self._flusher is not None:
+                self._waiting.put(None)
+                self._flusher.join()
+                self._flusher = None
+            if self._query is not None:
+                self._query.stop()
+                self._query = None
 
     # --- counters
 
@@ -124,19 +196,17 @@ class StreamingTable:
 
     @property
     def pending_rows(self) -> int:
-        return self._inserted - self._visible
+        return self._inserted - self._arrived
 
     @property
     def batches_flushed(self) -> int:
-        return len(self._batches)
+        return self._flushed
 
     # --- reading
 
     def snapshot(self) -> Table:
         """The rows of the batches that have ended."""
-        folders, schema = [path for _, path in self._folders], self._row_schema()
-        df = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        return Table(df)
+        return Table(self._rows(self.spark, self._folders))
 
     def query(self, fn: Callable[[Table], R]) -> R:
         return fn(self.snapshot())
