@@ -103,3 +103,17 @@ def test_rows_of_the_source_folder_and_inserted_ones(spark, tmp_path):
         table.insert_all(f"e\t{32 * (i % 2)}" for i in range(2 * streaming.MERGE))
         table.stop()
         assert total(table) == 31 + 32 * streaming.MERGE and len(table._folders) < streaming.MERGE
+
+
+def test_inserted_events_start_jobs_by_merge_not_by_batch(spark):
+    """stream_insert with batches of 20 rows: jobs that read, merge and count, and none for each of 50 batches."""
+    from tallyspark import catalog
+
+    spark.sparkContext.setJobGroup("events", "")
+    try:
+        found = catalog.inserted(spark, "/root/testdata/sf0.001", 20, 256).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("events")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r)[:3] for r in found] == [(1000, 0, 50)]
+    assert len(jobs) < 20
