@@ -1,10 +1,11 @@
 """StreamingTable: rows go in one at a time, batches of them become visible as a whole, batch queries read what is visible.
 
-insert() gathers lines on the driver and writes each full buffer as one file of raw lines. The files wait in a bounded
-queue; a thread of the driver makes them visible one after the other and merges what is visible: so many files, or folders
-of one size, become a Parquet folder of the next size, so their number grows with the logarithm of the batches. The first
-merge parses the lines, by the same expressions as the bulk loader; queries parse the few files that are not merged yet. So
-a batch costs no Spark job of its own. Merged files and folders stay for queries that still read them.
+insert() gathers lines on the driver. Full buffers wait, as Arrow tables, in a bounded queue; a thread of the driver makes
+them visible one after the other and merges what is visible: so many of one size become one of the next size, so their
+number grows with the logarithm of the batches. The first merge writes the lines of its batches as one file; the second
+parses such files to a Parquet folder, by the same expressions as the bulk loader. Queries write the few batches that the
+driver still holds as one more file and parse what isn't parsed yet. So a batch costs no Spark job and no file of its own.
+Merged files and folders stay for queries that still read them.
 
 Text files that others put into the source folder go through a Structured Streaming query, one file per micro-batch; a
 replayed batch overwrites its own folder, so each row counts once. A blank line is a row of defaults in both.
@@ -18,7 +19,7 @@ import queue
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Mapping
-from typing import TypeVar
+from typing import TYPE_CHECKING, TypeVar
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
@@ -30,21 +31,30 @@ from ..plans.query import Table
 from ..schema import SPARK_TYPES, resolve
 from ..sources.delimited import ROW, bind_header, typed_fields, without_cr
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 R = TypeVar("R")
-#: How many files, or folders of one size, are merged to a folder of the next.
+#: How many batches, files or folders of one size are merged to one of the next.
 MERGE = 16
 #: A row's place: its batch, and its number or its order there.
 PLACE = T.StructField(ROW, T.StructType([T.StructField("batch", T.LongType()), T.StructField("n", T.LongType())]))
 
 
-def _as_parquet(lines: list[str], number: int) -> bytes:
+def _as_table(lines: list[str], number: int) -> pa.Table:
+    import pyarrow as pa
+
+    place = pa.StructArray.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), len(lines)), pa.array(range(len(lines)), pa.int64())], ["batch", "n"])
+    return pa.table({"value": pa.array(lines, pa.string()), ROW: place})
+
+
+def _as_parquet(batches: list[pa.Table]) -> bytes:
     """Not as text: a row may hold line ends."""
     import pyarrow as pa
     from pyarrow import parquet
 
-    place = pa.StructArray.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), len(lines)), pa.array(range(len(lines)), pa.int64())], ["batch", "n"])
     out = pa.BufferOutputStream()
-    parquet.write_table(pa.table({"value": pa.array(lines, pa.string()), ROW: place}), out, use_dictionary=False, write_statistics=False)
+    parquet.write_table(pa.concat_tables(batches), out, use_dictionary=False, write_statistics=False, compression="zstd")
     return out.getvalue().to_pybytes()
 
 
@@ -60,8 +70,8 @@ class StreamingTable:
         header: str | None = None,
     ) -> None:
         """Fields are bound by the schema's order, or by the header line if one is given. path: a folder all executors
-        share; by default one below spark.checkpoint.dir. At most queue_capacity files wait to become visible; then insert()
-        blocks until one of them is taken."""
+        share; by default one below spark.checkpoint.dir. At most queue_capacity full buffers wait to become visible; then
+        insert() blocks until one of them is taken."""
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.kinds, self.sep = resolve(schema), delimiter[:1] or "\t"
         self.positions = bind_header(header, self.kinds, self.sep) if header else {n: i for i, n in enumerate(self.kinds)}
@@ -71,9 +81,11 @@ class StreamingTable:
         self._inserted = self._visible = self._arrived = self._flushed = 0  # rows inserted, visible, and both; batches
         self._numbers = itertools.count()  # of batches, in their order
         self._batches: set[int] = set()  # micro-batches that have ended
-        self._folders: list[tuple[int, str]] = []  # level and path, in the order of their rows; replaced, never changed
+        # level, and path or the batch itself, in the order of their rows; replaced, never changed
+        self._folders: list[tuple[int, str | pa.Table]] = []
+        self._held: tuple[list[pa.Table], str] = ([], "")  # batches that were written for a query, and where
         self._lock = threading.Lock()
-        self._waiting: queue.Queue[tuple[str, int] | None] = queue.Queue(self.capacity)
+        self._waiting: queue.Queue[pa.Table | None] = queue.Queue(self.capacity)
         self._flusher: threading.Thread | None = None
         self._failure: Exception | None = None
         self._query = None
@@ -94,21 +106,19 @@ class StreamingTable:
         self._raise_failure()
         if not self._buffer:
             return
-        number = next(self._numbers)
-        path = f"{self.root}/inserted/{number}.parquet"
-        write_file(self.spark, path, _as_parquet(self._buffer, number))
+        batch = _as_table(self._buffer, next(self._numbers))
         if self._flusher is None:
             self._flusher = InheritableThread(self._flush, session=self.spark, daemon=True)
             self._flusher.start()
-        rows, self._buffer = len(self._buffer), []
-        self._waiting.put((path, rows))
+        self._buffer = []
+        self._waiting.put(batch)
 
     def _flush(self) -> None:
         """The flusher's thread, until it gets None. After a failure the rest is let go, so that nobody waits for it."""
-        for path, rows in iter(self._waiting.get, None):
+        for batch in iter(self._waiting.get, None):
             try:
                 if self._failure is None:
-                    self._publish(self.spark, path, rows)
+                    self._publish(self.spark, batch, batch.num_rows)
             except Exception as e:
                 self._failure = e
             finally:
@@ -119,11 +129,11 @@ class StreamingTable:
         if self._failure is not None:
             raise RuntimeError("a batch could not be flushed") from self._failure
 
-    def _publish(self, spark: SparkSession, path: str, rows: int) -> None:
+    def _publish(self, spark: SparkSession, batch: str | pa.Table, rows: int) -> None:
         with self._lock:
-            self._folders = [*self._folders, (0, path)]
+            self._folders = [*self._folders, (0, batch)]
             self._visible += rows
-            self._arrived += rows if self._is_raw(path) else 0
+            self._arrived += 0 if isinstance(batch, str) else rows
             self._flushed += 1
             self._folders = self._merged(spark, self._folders)
 
@@ -147,21 +157,41 @@ class StreamingTable:
         """A file of inserted lines, which are not parsed yet."""
         return path.startswith(f"{self.root}/inserted/")
 
+    def _written(self, spark: SparkSession, batches: list[pa.Table]) -> str:
+        path = f"{self.root}/inserted/{uuid.uuid4().hex}.parquet"
+        write_file(spark, path, _as_parquet(batches))
+        return path
+
+    def _written_once(self, spark: SparkSession, batches: list[pa.Table]) -> str:
+        """For queries: no other file as long as the same batches are held."""
+        held, path = self._held
+        if [*map(id, held)] != [*map(id, batches)]:
+            path = self._written(spark, batches)
+            self._held = batches, path
+        return path
+
     def _parsed(self, lines: DataFrame) -> DataFrame:
         return typed_fields(lines.select(without_cr(F.col("value")).alias("value"), ROW), self.positions, self.kinds, self.sep)
 
-    def _rows(self, spark: SparkSession, folders: list[tuple[int, str]]) -> DataFrame:
-        raw = [path for _, path in folders if self._is_raw(path)]
-        done = [path for _, path in folders if not self._is_raw(path)]
+    def _rows(self, spark: SparkSession, folders: list[tuple[int, str | pa.Table]]) -> DataFrame:
+        paths = [x for _, x in folders if isinstance(x, str)]
+        raw, done = [x for x in paths if self._is_raw(x)], [x for x in paths if not self._is_raw(x)]
+        if held := [x for _, x in folders if not isinstance(x, str)]:
+            raw.append(self._written_once(spark, held))
         parts = [spark.read.schema(self._row_schema()).parquet(*done)] if done else []
         if raw:
             parts.append(self._parsed(spark.read.schema(T.StructType([T.StructField("value", T.StringType()), PLACE])).parquet(*raw)))
         return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], self._row_schema())
 
-    def _merged(self, spark: SparkSession, folders: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    def _merged(self, spark: SparkSession, folders: list[tuple[int, str | pa.Table]]) -> list[tuple[int, str | pa.Table]]:
         while len(folders) >= MERGE and folders[-MERGE][0] == folders[-1][0]:
-            level, path = folders[-1][0] + 1, f"{self.root}/table/merged-{uuid.uuid4().hex}"
-            self._rows(spark, folders[-MERGE:]).coalesce(max(1, level)).write.parquet(path)
+            level, last = folders[-1][0] + 1, folders[-MERGE:]
+            held = [x for _, x in last if not isinstance(x, str)]
+            if len(held) == MERGE:
+                path = self._written(spark, held)
+            else:
+                path = f"{self.root}/table/merged-{uuid.uuid4().hex}"
+                self._rows(spark, last).coalesce(max(1, 4 * (level - 1))).write.parquet(path)
             folders = [*folders[:-MERGE], (level, path)]
         return folders
 

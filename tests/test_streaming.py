@@ -117,3 +117,51 @@ def test_inserted_events_start_jobs_by_merge_not_by_batch(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert [tuple(r)[:3] for r in found] == [(1000, 0, 50)]
     assert len(jobs) < 20
+
+
+def test_inserted_events_start_a_job_for_many_batches(spark):
+    """500 batches of two rows: parsed 256 at a time; a merge to Parquet for each 16 were 32 jobs."""
+    from tallyspark import catalog
+
+    spark.sparkContext.setJobGroup("many", "")
+    try:
+        found = catalog.inserted(spark, "/root/testdata/sf0.001", 2, 256).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("many")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    clicks = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type = 'click'").count()
+    assert [tuple(r) for r in found] == [(1000, 0, 500, clicks)]
+    assert len(jobs) < 10
+
+
+def test_a_batch_writes_no_file(spark, tmp_path):
+    """One for each 16 batches, and one for the rest when a query comes; the same query again writes none."""
+    files = lambda: {p.name for p in tmp_path.rglob("inserted/*.parquet")}
+    n = streaming.MERGE
+    with StreamingTable(KINDS, 2, spark=spark, path=str(tmp_path)) as table:
+        table.insert_all(f"a\t{i}" for i in range(4 * n + 6))
+        table.flush_sync()
+        assert len(files()) == 2 and [level for level, _ in table._folders] == [1, 1, 0, 0, 0]
+        assert total(table) == total(table) == sum(range(4 * n + 6)) and len(files()) == 3
+        table.insert_all(["b\t1", "b\t2"])
+        table.flush_sync()
+        assert total(table) == sum(range(4 * n + 6)) + 3 and len(files()) == 4
+        assert table.query(lambda t: int(t.filter(k="b").sum("n").values[0])) == 3
+
+
+def test_lines_on_the_driver_keep_their_order(spark):
+    """In blocks of any size, with line ends, nothing and no value in them."""
+    from tallyspark import catalog
+
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else f"é\n{i}\t" for i in range(2500)]
+    lines = spark.createDataFrame([(t,) for t in texts], "value string").repartition(1).sortWithinPartitions("value").cache()
+    want = [r["value"] for r in lines.collect()]
+    assert sorted(map(str, want)) == sorted(map(str, texts))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        assert list(catalog.on_the_driver(lines)) == want
+        assert list(catalog.on_the_driver(lines.limit(0))) == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        lines.unpersist()
